@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, remove
+from .common import materialise, remove, small_batches
 
 BINS = 256
 ROWS = 6
 BANDS = BINS // ROWS
 #: Members of a bucket that are compared in one step.
 BLOCK = 1024
+#: Ids of documents that are broadcast, to read their texts without a shuffle of all texts; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 #: Attempts of densification that are made by table; what is left takes the next filled bin.
 ATTEMPTS = 64
 
@@ -59,6 +61,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PROBES = (_mix(np.arange(BINS * ATTEMPTS, dtype=np.uint64) + np.uint64(977)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, ATTEMPTS)
 _BAND = _mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(31)) | np.uint64(1)
+_WHICH = _mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(57))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +149,7 @@ def _sketches(k: int):
                     with np.errstate(over="ignore"):
                         fp.append(np.array([_mix(s).sum(), _mix(s ^ _M2).sum()], np.uint64).tobytes())
                         v = signature(s)
-                        bands = _mix((_mix(v[: BANDS * ROWS].reshape(BANDS, ROWS)) * _BAND).sum(1))
+                        bands = _mix((_mix(v[: BANDS * ROWS].reshape(BANDS, ROWS)) * _BAND).sum(1) + _WHICH)
                     keys.append(bands.view(np.int64))
                     sig.append(_mix(v).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "n", "fp", "keys", "sig"])
@@ -167,6 +170,7 @@ def _sets(k: int):
 
 def sketches(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     """id, n (size of the set), fp (128 bits of the set), keys (of bands), sig (a byte a bin)."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sketches(k), T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]))
 
 
@@ -243,17 +247,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
         raise TypeError(f"{id_col} must be an integer")
     docs = df.withColumn(id_col, F.col(id_col).cast("long"))
     sketch = sketches(docs, id_col, text, k)
-    rows = sketch.where("id is not null")
     # Equal sets collapse; of a set, the smallest id stands for all.
-    full = materialise(sketch.select("id", "n", "fp"), "members")
-    reps = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "n", "keys", "sig")).alias("r")).select("fp", "r.*"), "reps")
-    buckets = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    centres = buckets.groupBy("band", "key").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("m"), F.count("*").alias("size")).where("size > 1")
+    sketch = materialise(sketch, "sketch")
+    full = sketch.select("id", "n", "fp")
+    reps = materialise(sketch.where("id is not null and fp is not null").groupBy("fp").agg(F.min(F.struct("id", "n", "keys", "sig")).alias("r")).select("fp", "r.*"), "reps")
+    buckets = reps.select("id", "n", F.explode("keys").alias("key"))
+    centres = buckets.groupBy("key").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("m"), F.count("*").alias("size")).where("size > 1")
+    # Members of buckets that hold more than one: all that the rest reads.
+    crowded = materialise(buckets.join(centres, "key"), "buckets")
     close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("id") != F.col("b"))
-    star = materialise(buckets.join(centres, ["band", "key"]).where(close).select(F.col("id").alias("a"), "b").distinct(), "stars")
+    star = materialise(crowded.where(close).select(F.col("id").alias("a"), "b").distinct(), "stars")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
         chosen = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
         return chosen.mapInArrow(_sets(k), "id long, set array<long>")
 
@@ -267,21 +275,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     remove(star)
     found = components(links)
     # What the stars have left open: buckets with members in several components.
-    open_rows = reps.join(found, "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("root"), F.posexplode("keys").alias("band", "key"))
-    unsolved = open_rows.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_rows = crowded.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    unsolved = open_rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = open_rows.join(unsolved, ["band", "key"]).withColumn("side", mine)
+    dealt = open_rows.join(unsolved, "key").join(reps.select("id", "n", "sig"), "id").withColumn("side", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     # Five standard deviations below the threshold.
     p = percent / 100
     reach = int(BINS * (p - 5 * (p * (1 - p) / BINS) ** 0.5))
-    more = dealt.groupBy("band", "key", "i", "j").applyInPandas(_across(reach), "a long, b long").distinct()
+    more = dealt.groupBy("key", "i", "j").applyInPandas(_across(reach), "a long, b long").distinct()
     more = materialise(more, "pairs")
     rest = confirmed(more, "links")
     remove(more)
     roots = components(links.unionByName(rest))
-    remove(found), remove(links), remove(rest)
+    remove(found), remove(links), remove(rest), remove(crowded)
     of_set = reps.select("fp", "id").join(roots, "id", "left").select("fp", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
     out = full.join(of_set, "fp", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
