@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Bytes from which a piece without white space is encoded as a tree, and of a leaf at most.
 LONG, LEAF = 512, 256
 #: Characters on each side of a join in its first window.
@@ -198,6 +200,7 @@ def codec(path: str) -> Codec:
 
 
 def _batches(df: DataFrame, name: str, path: str, step, added: list[T.StructField]):
+    small_batches(df.sparkSession)
     at = df.columns.index(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

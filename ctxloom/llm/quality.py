@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 FILTERS = 24
 WIDTH = 6
 CHUNK = 512
@@ -191,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
 
 def score(df: DataFrame, net: Network, *, text: str = "text", to: str = "score") -> DataFrame:
     """df with a probability (0 to 1) of label 1, over the whole of every text. Null counts as empty, and an empty text gets the score of no evidence: zero bytes."""
+    small_batches(df.sparkSession)
     arrays = (net.filters.astype(np.float32), net.bias, net.out, net.out_bias)
     if to in df.columns:
         df = df.drop(to)

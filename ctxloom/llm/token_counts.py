@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
@@ -67,6 +69,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, *, sections: str, text:
     Columns of df with the new names are replaced.
     """
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("section_tokens", T.ArrayType(T.LongType())), T.StructField("n_crossing", T.LongType())]
+    small_batches(df.sparkSession)
     df = df.drop(*[f.name for f in new])
     at, cut = df.columns.index(text), df.columns.index(sections)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path
+from .common import fresh_path, small_batches
 
 RECORDS = 500
 #: The legacy archives need a fetch date, an address and a type; tables of pages have none.
@@ -100,6 +100,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
 
 def write_arc(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", path: str | None = None) -> str:
     """Write pages as ARC files, versions in turn, and return the folder. Null html is an empty payload; null and odd URLs are written as '-' and percent-encoded."""
+    small_batches(pages.sparkSession)
     path = path or fresh_path(pages.sparkSession, "arc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
