@@ -239,7 +239,7 @@ def round_robin_fusion(spark, sf_dir):
     return fusion.round_robin(_lists(spark, sf_dir), list_col="list", id_col="id", score="s", top=50).select("id", "place")
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderkey, round(0.7::DOUBLE * (o_totalprice / 1000000) + 0.3::DOUBLE * (o_orderkey % 100) / 100, 6) AS final_score FROM orders)
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, round(0.7::DOUBLE * (o_totalprice / 1000000) + (1 - 0.7::DOUBLE) * ((o_orderkey % 100) / 100.0::DOUBLE), 6) AS final_score FROM orders)
 SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY final_score DESC, o_orderkey) AS place FROM s QUALIFY place <= 3""")
 def rerank_weighted(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 1000000).alias("cross"), ((F.col("o_orderkey") % 100) / F.lit(100)).alias("bi"))
