@@ -25,14 +25,31 @@ CHAIN = 2
 ROWS_PER_RANGE = 2_000
 
 
-def chains(text: Column, anchors=tuple(sorted(set(ANCHORS)))) -> Column:
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def alternatives(words) -> str:
+    """A pattern of any of the words, branching letter by letter, so that a word is tried by one path and not by all words in turn."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    body = "|".join(c + alternatives(t) for c, t in tails.items())
+    return f"(?:{body})" + "?" * ("" in words) if body else ""
+
+
+def chains(text: Column, anchors=tuple(ANCHORS)) -> Column:
     """The chains of a text as strings, in order, repeats included."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    marked = F.regexp_replace(words, f" (?=(?:{'|'.join(anchors)}) )", " #")
+    marked = F.regexp_replace(words, f" (?={alternatives(anchors)} )", " #")
     # Of neighbouring common words the last one is the anchor.
     lone = F.regexp_replace(marked, " #[^ ]++(?= #)", "")
     chain = "#(?=([^ ]++" + " [^ #]++(?: #[^ ]++)?" * (CHAIN - 1) + " [^ #]++) )"
-    return F.transform(F.regexp_extract_all(lone, F.lit(chain), F.lit(1)), lambda c: F.regexp_replace(c, " #[^ ]++", ""))
+    found = F.regexp_extract_all(lone, F.lit(chain), F.lit(1))
+    # At most one common word stands between two content words.
+    return F.transform(found, lambda c: F.regexp_replace(c, " #[^ ]++", ""))
 
 
 def fingerprint(text: Column) -> Column:
@@ -42,8 +59,9 @@ def fingerprint(text: Column) -> Column:
     hashed; an empty text has none. Equal texts have equal fingerprints.
     """
     text = F.coalesce(text, F.lit(""))
-    found = F.array_sort(F.array_distinct(F.transform(chains(text), lambda c: F.xxhash64(c))))
-    return F.when(F.size(found) > 0, found).when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text)))
+    hashed = F.array_distinct(F.transform(chains(text), lambda c: F.xxhash64(c)))
+    none = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text)))
+    return _let(F.sort_array(hashed), lambda found: F.when(F.size(found) > 0, found).otherwise(none))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -51,9 +69,8 @@ def likeness(a: Column, b: Column) -> Column:
 
     Pruned: where the ratio of the sizes is 0 there is nothing to intersect.
     """
-    common = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - common
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(F.least(F.size(a), F.size(b)) == 0, 0.0).otherwise(common / union).cast("double")
+    ratio = _let(F.size(F.array_intersect(a, b)), lambda common: common / (F.size(a) + F.size(b) - common))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(F.least(F.size(a), F.size(b)) == 0, 0.0).otherwise(ratio).cast("double")
 
 
 def fingerprint_text(fp: Column) -> Column:
@@ -61,8 +78,8 @@ def fingerprint_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.hex(x))), " ")
 
 
-def with_next(df: DataFrame, *, id_col: str, cols: list[str], text: str) -> DataFrame:
-    """df with next_<col> of the row with the next id; after the last row comes the first.
+def with_next(df: DataFrame, *, id_col: str, cols: list[str], text: str, derived: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """df with next_<col> of the row with the next id; after the last row comes the first. derived: columns made from cols, to be added to both, once a row.
 
     Rows of equal ids are ordered by text; null ids come last. Rows are dealt
     into ranges of ids by quantiles, so that no task has all rows; each range
@@ -78,15 +95,17 @@ def with_next(df: DataFrame, *, id_col: str, cols: list[str], text: str) -> Data
     rows = df.withColumn(part, F.when(F.col(id_col).isNull(), F.lit(len(bounds))).otherwise(place))
     order = [F.col(id_col).asc_nulls_last(), F.col(text).asc_nulls_first()]
     line = Window.partitionBy(part).orderBy(*order)
-    nexts = F.struct(*cols)
-    led = rows.withColumn("__next", F.lead(nexts).over(line))
-    first = rows.groupBy(part).agg(F.min(F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.col(text).isNotNull().alias("p"), F.col(text).alias("t"), nexts.alias("v"))).alias("f"))
+    nexts = F.struct(*cols, *derived)
+    led = rows.withColumns(derived) if derived else rows
+    led = led.withColumn("__next", F.lead(nexts).over(line))
+    first = rows.groupBy(part).agg(F.min(F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.col(text).isNotNull().alias("p"), F.col(text).alias("t"), F.struct(*cols).alias("v"))).alias("f"))
     # As many rows as ranges: at most 4096.
     ring = Window.partitionBy(F.lit(0)).orderBy(part)
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hand = first.select(part, F.coalesce(F.lead(F.col("f.v")).over(ring), F.first("f.v").over(whole)).alias("__first"))
+    hand = first.select(part, F.coalesce(F.lead(F.col("f.v")).over(ring), F.first("f.v").over(whole)).alias("__v")).select(part, *[F.col(f"__v.{c}").alias(c) for c in cols])
+    hand = (hand.withColumns(derived) if derived else hand).select(part, nexts.alias("__first"))
     led = led.join(hand, part, "left").withColumn("__next", F.coalesce("__next", "__first"))
-    return led.select(*df.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in cols])
+    return led.select(*df.columns, *derived, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in (*cols, *derived)])
 
 
 def edited_text(text: Column, following: Column) -> Column:

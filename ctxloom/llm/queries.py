@@ -62,8 +62,7 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = docs.withColumn("fp", fingerprints.fingerprint(F.col("text")))
-    pairs = fingerprints.with_next(known, id_col="doc_id", cols=["text", "fp"], text="text")
+    pairs = fingerprints.with_next(docs, id_col="doc_id", cols=["text"], text="text", derived={"fp": fingerprints.fingerprint(F.col("text"))})
     pairs = pairs.withColumn("edited", fingerprints.edited_text(F.col("text"), F.col("next_text")))
     pairs = pairs.withColumn("efp", fingerprints.fingerprint(F.col("edited")))
     return pairs.select(
