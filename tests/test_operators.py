@@ -18,7 +18,7 @@ from ctxloom.plans import fixtures
 from ctxloom.sources import tables
 from ctxloom.streaming import triggers
 
-QUICK = settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+QUICK = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def one(spark, column, **values):
@@ -119,11 +119,11 @@ def test_hash_vectors():
 
 
 @QUICK
-@given(st.lists(st.floats(-10, 10), min_size=3, max_size=3), st.lists(st.floats(-10, 10), min_size=3, max_size=3))
-def test_cosine(spark, a, b):
-    got = one(spark, vector.cosine(F.col("a"), F.col("b")), a=a, b=b)
-    assert -1 - 1e-9 <= got <= 1 + 1e-9
-    assert abs(got - one(spark, vector.cosine(F.col("b"), F.col("a")), a=a, b=b)) < 1e-9
+@given(st.lists(st.tuples(*[st.lists(st.floats(-10, 10), min_size=3, max_size=3)] * 2), min_size=1, max_size=60))
+def test_cosine(spark, pairs):
+    d = spark.createDataFrame(pairs, "a array<double>, b array<double>")
+    for r in d.select(vector.cosine(F.col("a"), F.col("b")).alias("x"), vector.cosine(F.col("b"), F.col("a")).alias("y")).collect():
+        assert -1 - 1e-9 <= r.x <= 1 + 1e-9 and abs(r.x - r.y) < 1e-9
 
 
 def test_cosine_edges(spark):
@@ -217,9 +217,10 @@ def test_conflict_answers(spark):
 
 
 @QUICK
-@given(st.text(max_size=60))
-def test_parsing_never_fails(spark, t):
-    assert one(spark, F.size(extraction.valid_facts(extraction.parse(F.col("t"))["facts"])), t=t) >= 0
+@given(st.lists(st.text(max_size=60), min_size=1, max_size=80))
+def test_parsing_never_fails(spark, texts):
+    d = spark.createDataFrame([(t.replace("\x00", ""),) for t in texts], "t string")
+    assert all(r.n >= 0 for r in d.select(F.size(extraction.valid_facts(extraction.parse(F.col("t"))["facts"])).alias("n")).collect())
 
 
 def test_retrieve_modes(spark):
@@ -227,7 +228,7 @@ def test_retrieve_modes(spark):
     store = spark.createDataFrame([("tr_1", body)], "result_id string, full_result string")
     assert results.retrieve(store, "tr_1").first().content == body
     assert [r.line for r in results.retrieve(store, "tr_1", "search", query="hit", context_lines=1).orderBy("line").collect()] == [2, 3, 4, 5, 8, 9, 10]
-    assert results.retrieve(store, "tr_1", "lines", start_line=2, end_line=3).first().content == "2: line 2 \n3: line 3"
+    assert results.retrieve(store, "tr_1", "lines", start_line=2, end_line=3).first().content == "2: line 2 \n3: line 3 Hit"
     assert results.retrieve(store, "tr_1", "lines", start_line=5, end_line=3).first().content == ""
     assert [r.line for r in results.retrieve(store, "tr_1", "around", line=1, context_lines=1).collect()] == [1, 2]
     assert "truncated" in results.retrieve(store, "tr_1", "lines", start_line=1, end_line=11, max_tokens=5).first().content
@@ -263,10 +264,11 @@ def test_trigger_stream(spark, tmp_path):
     rows = [(1, i, "user", "x") for i in range(12)] + [(2, i, "user", "x") for i in range(3)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(str(tmp_path / "in"))
-    q = triggers.extraction_batches(stream).writeStream.format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    q.processAllAvailable()
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers ask for batches without end
+    q = triggers.extraction_batches(stream).writeStream.format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = sorted((r.conv_id, r.n, r.first_turn, r.last_turn, r.reason) for r in spark.sql("SELECT * FROM due").collect())
-    q.stop()
     assert got == [(1, 5, 0, 4, "count"), (1, 5, 5, 9, "count")]
 
 
