@@ -22,6 +22,7 @@ Steps, each a table in the shared folder where it is read more than once:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ from .common import materialise, remove, small_batches
 BINS = 256
 ROWS = 6
 BANDS = BINS // ROWS
+#: Bins of the finer signature by which members of different components are compared.
+FINE = 2048
 #: Members of a bucket that are compared in one step.
 BLOCK = 1024
 #: Ids of documents that are broadcast, to read their texts without a shuffle of all texts; more are joined by a shuffle.
@@ -59,7 +62,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_PROBES = (_mix(np.arange(BINS * ATTEMPTS, dtype=np.uint64) + np.uint64(977)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, ATTEMPTS)
+
+
+
+@lru_cache(maxsize=4)
+def _probes(bins: int) -> np.ndarray:
+    """Where an empty bin looks for a filled one, in order."""
+    return (_mix(np.arange(bins * ATTEMPTS, dtype=np.uint64) + np.uint64(977)) % np.uint64(bins)).astype(np.int64).reshape(bins, ATTEMPTS)
+
+
 _BAND = _mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(31)) | np.uint64(1)
 _WHICH = _mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(57))
 
@@ -115,21 +126,23 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield w
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """One value for each of BINS bins. shingles: sorted, so the first of a bin is its minimum."""
-    bins = (shingles >> np.uint64(56)).astype(np.int64)
-    filled, first = np.unique(bins, return_index=True)
-    out = np.zeros(BINS, np.uint64)
+def signature(shingles: np.ndarray, n_bins: int = BINS) -> np.ndarray:
+    """One value for each bin, of which there are a power of two. shingles: sorted, so the first of a bin is its minimum."""
+    bins = (shingles >> np.uint64(65 - n_bins.bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+    filled = bins[first]
+    out = np.zeros(n_bins, np.uint64)
     out[filled] = shingles[first]
-    if len(filled) < BINS:
-        has = np.zeros(BINS, bool)
+    if len(filled) < n_bins:
+        probes = _probes(n_bins)
+        has = np.zeros(n_bins, bool)
         has[filled] = True
         empty = np.flatnonzero(~has)
-        hit = has[_PROBES[empty]]
-        source = _PROBES[empty, hit.argmax(1)]
+        hit = has[probes[empty]]
+        source = probes[empty, hit.argmax(1)]
         left = ~hit.any(1)
         if left.any():
-            after = np.searchsorted(filled, _PROBES[empty[left], 0]) % len(filled)
+            after = np.searchsorted(filled, probes[empty[left], 0]) % len(filled)
             source[left] = filled[after]
         out[empty] = out[source]
     return out
@@ -140,19 +153,18 @@ def _sketches(k: int):
         for batch in batches:
             for start in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(start, 512)
-                n, fp, keys, sig = [], [], [], []
+                n, fp, keys = [], [], []
                 for s in shingle_sets(part.column(1), k):
                     n.append(len(s))
                     if not len(s):
-                        fp.append(None), keys.append(None), sig.append(None)
+                        fp.append(None), keys.append(None)
                         continue
                     with np.errstate(over="ignore"):
                         fp.append(np.array([_mix(s).sum(), _mix(s ^ _M2).sum()], np.uint64).tobytes())
                         v = signature(s)
                         bands = _mix((_mix(v[: BANDS * ROWS].reshape(BANDS, ROWS)) * _BAND).sum(1) + _WHICH)
                     keys.append(bands.view(np.int64))
-                    sig.append(_mix(v).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "n", "fp", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "fp", "keys"])
 
     return run
 
@@ -168,10 +180,21 @@ def _sets(k: int):
     return run
 
 
+def _fine(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, max(batch.num_rows, 1), 256):
+                part = batch.slice(start, 256)
+                found = [_mix(signature(s, FINE)).astype(np.uint8).tobytes() if len(s) else None for s in shingle_sets(part.column(1), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "sig"])
+
+    return run
+
+
 def sketches(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """id, n (size of the set), fp (128 bits of the set), keys (of bands), sig (a byte a bin)."""
+    """id, n (size of the set), fp (128 bits of the set), keys (of bands)."""
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sketches(k), T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]))
+    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sketches(k), T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,12 +232,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(reach: int):
-    """Pairs of one block pair of a bucket: other component, other id, and signatures that agree in reach bins at least."""
+    """Pairs of one block pair of a bucket: other component, no bucket in common before this one, and signatures that agree in reach bins at least."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, root = pdf["id"].to_numpy(), pdf["root"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(ids), BINS)
-        n, side = pdf["n"].to_numpy(), pdf["side"].to_numpy()
+        ids, root, n, side = (pdf[c].to_numpy() for c in ("id", "root", "n", "side"))
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(ids), FINE)
+        keys = np.array(pdf["keys"].tolist(), np.int64)
+        band = int(np.flatnonzero((keys == pdf["key"].iloc[0]).all(0))[0])
         same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         one, two = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == pdf["i"].iloc[0]), np.flatnonzero(side == pdf["j"].iloc[0]))
         a, b = [], []
@@ -222,6 +246,8 @@ def _across(reach: int):
             of = two[(root[two] != root[x]) & (2 * np.minimum(n[two], n[x]) >= np.maximum(n[two], n[x]))]
             if same:
                 of = of[of > x]
+            if band and len(of):
+                of = of[~(keys[of, :band] == keys[x, :band]).any(1)]
             if len(of):
                 of = of[(sig[of] == sig[x]).sum(1) >= reach]
                 a.append(np.full(len(of), ids[x])), b.append(ids[of])
@@ -250,7 +276,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     # Equal sets collapse; of a set, the smallest id stands for all.
     sketch = materialise(sketch, "sketch")
     full = sketch.select("id", "n", "fp")
-    reps = materialise(sketch.where("id is not null and fp is not null").groupBy("fp").agg(F.min(F.struct("id", "n", "keys", "sig")).alias("r")).select("fp", "r.*"), "reps")
+    reps = materialise(sketch.where("id is not null and fp is not null").groupBy("fp").agg(F.min(F.struct("id", "n", "keys")).alias("r")).select("fp", "r.*"), "reps")
     buckets = reps.select("id", "n", F.explode("keys").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("m"), F.count("*").alias("size")).where("size > 1")
     # Members of buckets that hold more than one: all that the rest reads.
@@ -258,12 +284,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("id") != F.col("b"))
     star = materialise(crowded.where(close).select(F.col("id").alias("a"), "b").distinct(), "stars")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = ids.distinct()
         if wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        chosen = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-        return chosen.mapInArrow(_sets(k), "id long, set array<long>")
+        return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        return texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))).mapInArrow(_sets(k), "id long, set array<long>")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         sets = materialise(sets_of(pairs), "sets")
@@ -278,16 +306,19 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     open_rows = crowded.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     unsolved = open_rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = open_rows.join(unsolved, "key").join(reps.select("id", "n", "sig"), "id").withColumn("side", mine)
+    members = materialise(open_rows.join(unsolved, "key"), "open")
+    # Of an id that repeats with other texts one signature counts: such rows are one document.
+    fine = materialise(texts_of(members.select("id")).mapInArrow(_fine(k), "id long, sig binary").where("sig is not null").groupBy("id").agg(F.min("sig").alias("sig")), "fine")
+    dealt = members.join(reps.select("id", "n", "keys"), "id").join(fine, "id").withColumn("side", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     # Five standard deviations below the threshold.
     p = percent / 100
-    reach = int(BINS * (p - 5 * (p * (1 - p) / BINS) ** 0.5))
+    reach = int(FINE * (p - 5 * (p * (1 - p) / FINE) ** 0.5))
     more = dealt.groupBy("key", "i", "j").applyInPandas(_across(reach), "a long, b long").distinct()
     more = materialise(more, "pairs")
     rest = confirmed(more, "links")
-    remove(more)
+    remove(more), remove(members), remove(fine)
     roots = components(links.unionByName(rest))
     remove(found), remove(links), remove(rest), remove(crowded)
     of_set = reps.select("fp", "id").join(roots, "id", "left").select("fp", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
