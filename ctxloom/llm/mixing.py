@@ -5,7 +5,9 @@ same number of expected copies, target / source size. The running sum of
 expected copies, moved by one random offset a source, crosses an integer
 boundary as often as the document is emitted. The line is ordered by size so
 that the words taken, and not the number of documents alone, come near the
-target.
+target; of OFFSETS offsets, spread evenly from a random one, a source uses the
+one whose words come nearest, which matters where a few long documents hold
+much of a source.
 
 Scale: no source is ever in one task. A document belongs to a cell (source,
 size class, block), where the block is a hash of its id and the number of
@@ -15,7 +17,7 @@ are few, and then within each cell. One shuffle carries the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import own_name, word_count
@@ -23,6 +25,7 @@ from .common import own_name, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
 ROWS_PER_BLOCK = 200_000
+OFFSETS = 32
 
 
 def targets(df: DataFrame, source: str, size: str, weights=WEIGHTS, budget: float = 1.0, cap: float = MOST_COPIES) -> DataFrame:
@@ -55,7 +58,7 @@ def targets(df: DataFrame, source: str, size: str, weights=WEIGHTS, budget: floa
 
 def _mixed(df: DataFrame, source: str, id_col: str, text: str, weights, budget: float, cap: float, seed: int, size_col: str | None) -> tuple[DataFrame, dict[str, str]]:
     """df with size, source_size, target and copies under names that df doesn't have; and those names."""
-    name = {x: own_name(df, x) for x in ("size", "source_size", "target", "copies", "class", "block", "src", "at", "before", "n", "source")}
+    name = {x: own_name(df, x) for x in ("size", "source_size", "target", "copies", "class", "block", "src", "at", "before", "n", "source", "offset")}
     size, cls, block, src = (F.col(name[x]) for x in ("size", "class", "block", "src"))
     cell = [name["src"], name["class"], name["block"]]
     rows = df.withColumn(name["size"], F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")) if size_col else word_count(F.col(text)))
@@ -70,12 +73,22 @@ def _mixed(df: DataFrame, source: str, id_col: str, text: str, weights, budget:
     cells = cells.join(rate, F.col("__cs").eqNullSafe(F.col(name["source"]))).drop(name["source"], "__cs", name["n"])
     ties = [F.col(id_col)] + ([F.xxhash64(F.col(text))] if text in df.columns else [])
     within = Window.partitionBy(*cell).orderBy(size, *ties)
-    # Window and join deal rows by the same columns: one shuffle for both.
-    out = rows.withColumn(name["at"], F.row_number().over(within)).join(cells, cell, "left")
-    at = F.col(name["before"]) + F.col(name["at"])
     rate_of = F.coalesce(F.try_divide(F.col(name["target"]), F.col(name["source_size"]).cast("double")), F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), src), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    copies = F.floor(at * rate_of + offset) - F.floor((at - 1) * rate_of + offset)
+    at = F.col(name["before"]) + F.col(name["at"])
+    start = F.pmod(F.xxhash64(F.lit(seed), src), F.lit(1 << 30)).cast("double") / float(1 << 30)
+
+    def copies_at(offset: Column) -> Column:
+        return F.floor(at * rate_of + offset) - F.floor((at - 1) * rate_of + offset)
+
+    # Window and join deal rows by the same columns: one shuffle for both.
+    place = F.row_number().over(within)
+    line_up = lambda r, c: r.withColumn(name["at"], place).join(c, cell, "left")
+    offsets = [F.pmod(start + k / OFFSETS, F.lit(1.0)) for k in range(OFFSETS)]
+    sums = line_up(rows, cells).groupBy(src, name["target"]).agg(*[F.sum(copies_at(o) * size).alias(f"__{k}") for k, o in enumerate(offsets)])
+    far = F.array(*[F.struct(F.abs(F.col(f"__{k}") - F.col(name["target"])).alias("far"), o.alias("offset")) for k, o in enumerate(offsets)])
+    best = sums.select(name["src"], F.array_min(far)["offset"].alias(name["offset"]))
+    out = line_up(rows, cells.join(best, name["src"]))
+    copies = copies_at(F.col(name["offset"]))
     # Rounding in the running sum can add no copy beyond the next whole number.
     out = out.withColumn(name["copies"], F.least(copies, F.ceil(rate_of)).cast("long"))
     return out, name

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, mixing, near_dup, neighbours, quality, secrets, sharding, token_counts, warc
-from .common import fresh_path, table
+from .common import fresh_path, materialise, table
 
 
 def vocabulary() -> str:
@@ -21,6 +21,7 @@ def vocabulary() -> str:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    sized = materialise(sized, "sizes")  # texts are counted once
     mixed = mixing.mix(sized, size_col="words")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
