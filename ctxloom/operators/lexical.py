@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ctxloom.functions.text import tokens
 
 K1, B = 1.2, 0.75
+#: Most (query, term) rows that are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 
 
 def inverted_index(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
@@ -38,14 +40,20 @@ def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str, text: str, query_i
     """query_id, id, bm25 (capped at 1 after division by 10) of the documents that share a term with a query.
 
     Terms that a query repeats count as often. Only terms of queries are looked
-    up: the postings are joined on the term, and the statistics are one row.
+    up, and the statistics are one row. Up to BROADCAST_TERMS the terms of the
+    queries go to the postings, which are dealt by document, so that no pair of
+    a query and a document is shuffled; above it, postings are joined on the term.
     """
     sized = docs.select(id_col, tokens(F.col(text)).alias("t"))
     stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     asked = queries.select(query_id, F.explode(tokens(F.col(query))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    postings = sized.select(id_col, F.size("t").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
-    seen = postings.groupBy("term").agg(F.count("*").alias("df"))
-    hits = postings.join(seen, "term").join(asked, "term").join(F.broadcast(stats))  # stats is one row
+    few = asked.count() <= BROADCAST_TERMS
+    sent = F.broadcast if few else lambda d: d
+    postings = sized.select(id_col, F.size("t").alias("length"), F.explode("t").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+    # The sum over tf keeps both uses of the postings one exchange.
+    seen = postings.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
+    dealt = postings.repartition(id_col) if few else postings
+    hits = dealt.join(sent(asked.join(seen, "term")), "term").join(F.broadcast(stats))  # stats is one row
     norm = F.col("tf") + K1 * (1 - B + B * F.coalesce(F.try_divide(F.col("length"), F.col("avgdl")), F.lit(0.0)))
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm
     return hits.groupBy(query_id, id_col).agg(F.least(F.lit(1.0), F.sum(part) / 10).alias("bm25"))
