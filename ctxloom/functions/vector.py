@@ -8,11 +8,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 384
 TEXT_CAP = 2000
+#: Rows and queries that are compared in one task at a time.
+ROWS, QUERIES = 4096, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,6 +29,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0)))
 
 
+def _by_size(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the vectors that are not null, by dimension: places, vectors, norms. A vector that holds a null has norm 0."""
+    v = column.combine_chunks()
+    v = v if isinstance(v, pa.Array) else v.chunk(0)
+    size = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == d)
+        flat = v.take(pa.array(at)).flatten()
+        m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+        holes = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), d).any(1)
+        m = np.where(holes[:, None], 0.0, m)
+        out[int(d)] = at, m, np.sqrt((m * m).sum(1))
+    return out
+
+
+def _compare(k: int | None, places: int):
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        n, m = queries.num_rows, rows.num_rows
+        score = np.zeros((n, m))
+        if n and m:
+            left, right = _by_size(queries["qv"]), _by_size(rows["v"])
+            for d in left.keys() & right.keys():
+                (qi, q, qn), (ri, r, rn) = left[d], right[d]
+                norm = qn[:, None] * rn
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score[np.ix_(qi, ri)] = np.where(norm == 0, 0.0, (q @ r.T) / norm)
+        score = np.round(score, places) + 0.0
+        if k is None:
+            at, on = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+        else:
+            ids = rows["id"].to_numpy()
+            # NaN comes first, as in Spark.
+            order = np.lexsort((np.broadcast_to(ids, score.shape), -np.nan_to_num(score, nan=np.inf)), axis=1)[:, : k + 1] if m else np.zeros((n, 0), int)
+            at, on = np.repeat(np.arange(n), order.shape[1]), order.ravel()
+            other = queries["query_id"].to_numpy()[at] != ids[on]
+            at, on = at[other], on[other]
+        return pa.table({"query_id": queries["query_id"].take(pa.array(at)), "id": rows["id"].take(pa.array(on)), "score": pa.array(score[at, on])})
+
+    return run
+
+
+def compare(rows: DataFrame, queries: DataFrame, *, k: int | None = None, places: int = 5) -> DataFrame:
+    """query_id, id, score: the rounded cosine() of every query (query_id, v) with every row (id, v), ids long, vectors array<double>.
+
+    With k: of each block of rows only the k nearest to a query, ties to the
+    smaller id, itself and null ids left out; ids are taken to be unique. Both
+    sides are dealt into blocks, and each pair of blocks is one group.
+    """
+    if k is not None:
+        rows = rows.where("id is not null")
+    lots, blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, ROWS), (queries, QUERIES)))
+    of = lambda c, n: F.pmod(F.xxhash64(c, "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("id", "v", of("id", lots).alias("lot")).withColumn("block", every(blocks))
+    right = queries.select("query_id", F.col("v").alias("qv"), of("query_id", blocks).alias("block")).withColumn("lot", every(lots))
+    return left.groupBy("lot", "block").cogroup(right.groupBy("lot", "block")).applyInArrow(_compare(k, places), "query_id long, id long, score double")
+
+
 def hash_vector(text: str | None, dim: int = DIM) -> np.ndarray:
     """Every word of three characters or more adds 5, 3 and 2, with signs, at three places that its md5 gives; unit length. Integer weights keep the sums exact, and the scale cancels."""
     out = np.zeros(dim)

@@ -195,20 +195,24 @@ def hash_embedding(spark, sf_dir):
     return v.where("x <> 0").select("item_id", F.col("p").cast("long").alias("place"), F.round("x", 5).alias("value"))
 
 
+def _vectors(spark, sf_dir):
+    """All rows, and the queries: those whose id is divisible by 100."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return e, e.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
 _COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5)"
 
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10")
 def cosine_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    return e.join(F.broadcast(q)).select("query_id", "vec_id", F.round(vector.cosine(F.col("qe"), F.col("embedding")), 5).alias("score"))  # ten stated queries
+    return vector.compare(*_vectors(spark, sf_dir)).withColumnRenamed("id", "vec_id")
 
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id QUALIFY rank <= 10")
 def cosine_topk_queries(spark, sf_dir):
-    s = cosine_pairs(spark, sf_dir).where("query_id <> vec_id")
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")).where("rank <= 10")
+    s = vector.compare(*_vectors(spark, sf_dir), k=10).withColumnRenamed("id", "vec_id")
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(CONTEXT_SQL.format(least="0.0") + f", h AS (SELECT *, {_MB.format(q=QUERY)} AS mb FROM (SELECT conv_id, turn, score, string_split_regex(lower(text), '\\s+') AS ws FROM chosen WHERE keep IS NULL)) SELECT conv_id, turn, round(0.4::DOUBLE * least(1.0::DOUBLE, mb / 10) + 0.6::DOUBLE * score, 5) AS hybrid FROM h")

@@ -4,8 +4,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from ctxloom.functions import vector
 from ctxloom.operators import lexical
 from ctxloom.plans import queries
 
@@ -46,3 +48,28 @@ def test_search_asks_every_whole_query(spark, tmp_path, monkeypatch, broadcast):
     for q in {q for q, _ in want}:
         order = sorted((-round(s, 6), d) for (x, d), s in want.items() if x == q)
         assert [r.doc_id for r in sorted(found, key=lambda r: r["rank"]) if r.item_id == q] == [d for _, d in order]
+
+
+def test_vectors_ask_every_hundredth_row(spark, tmp_path, monkeypatch):
+    for name, n in (("ROWS", 100), ("QUERIES", 2)):
+        monkeypatch.setattr(vector, name, n, raising=False)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8)).astype(np.float32)
+    vectors = {i: base[rng.integers(40)].tolist() for i in range(620)} | {1: None, 2: [0.0] * 8, 200: base[0].tolist(), 201: [1.0, 2.0], 7: [None] + [1.0] * 7, 300: None, 202: []}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        a, b = np.array(a), np.array(b)
+        norm = np.sqrt(a @ a) * np.sqrt(b @ b)
+        return round(float(a @ b / norm), 5) if norm else 0.0
+
+    want = {(q, i): cosine(vectors[q], v) for q in range(0, 620, 100) for i, v in vectors.items()}
+    got = {(r.query_id, r.vec_id): r.score for r in queries.QUERIES["cosine_pairs"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1.1e-5)
+    top = queries.QUERIES["cosine_topk_queries"](spark, str(tmp_path)).collect()
+    assert len(top) == 70
+    for q in range(0, 620, 100):
+        order = sorted((-s, i) for (x, i), s in got.items() if x == q and i != q)[:10]
+        assert [(-r.score, r.vec_id) for r in sorted(top, key=lambda r: r["rank"]) if r.query_id == q] == order
