@@ -57,13 +57,15 @@ def fact_score(cos: Column, bm25: Column, has_vector: Column) -> tuple[Column, C
 def retrieve_facts(facts: DataFrame, embeddings: DataFrame | None, *, user_id: str, query: str, query_vector: list[float] | None = None, k: int = 10, least: float = 0.75, scan: int = 1000, **seen) -> DataFrame:
     """The k best visible facts of a user; of the `scan` most recently used ones, as the store's cap has it. Ties to the smaller id."""
     require(user_id=user_id, query=query)
-    mine = facts.where((F.col("user_id") == user_id) & visible(**seen)).orderBy(F.desc("last_accessed_at"), "id").limit(scan)
+    mine = facts.where((F.col("user_id") == user_id) & visible(**seen))
+    # Scored before the one task of the limit, which so need not hold the texts.
+    mine = mine.withColumn("bm25", memory_bm25(F.lit(query), F.col("value"))).orderBy(F.desc("last_accessed_at"), "id").limit(scan)
     if embeddings is not None and query_vector is not None:
         mine = mine.join(embeddings.select("content_hash", "embedding"), "content_hash", "left")
         cos, has = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query_vector])), F.col("embedding").isNotNull()
     else:
         cos, has = F.lit(0.0), F.lit(False)
-    rows = mine.withColumn("bm25", memory_bm25(F.lit(query), F.col("value"))).withColumn("cos", cos).withColumn("has_embedding", has)
+    rows = mine.withColumn("cos", cos).withColumn("has_embedding", has)
     hybrid, rank_by = fact_score(F.col("cos"), F.col("bm25"), F.col("has_embedding"))
     kept = rows.withColumn("hybrid", hybrid).withColumn("score", F.round(rank_by, 6)).where((F.col("hybrid") >= least) | (F.col("bm25") > 0.5))
     return kept.orderBy(F.desc("score"), "id").limit(k).select("id", "scope", "value", "category", "key", "score", F.round("cos", 6).alias("cos"), F.round("bm25", 6).alias("bm25"), "has_embedding")

@@ -291,7 +291,7 @@ _BIG_FACTS = f"""SELECT doc_id AS id, {_MB.format(q='the and')} AS b FROM (SELEC
 
 @query(f"SELECT id, round(0.8::DOUBLE * b, 6) AS score FROM ({_BIG_FACTS}) WHERE b > 0.5 OR 0.8::DOUBLE * b >= 0.75 ORDER BY score DESC, id LIMIT 10")
 def fact_retrieve_topk(spark, sf_dir):
-    f = table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("value"), F.lit("user").alias("scope"), F.col("lang").alias("category"), F.lit(None).cast("string").alias("key"), F.col("n_chars").alias("last_accessed_at"))
+    f = table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("id"), F.col("text").alias("value"), F.lit("user").alias("scope"), F.col("lang").alias("category"), F.lit(None).cast("string").alias("key"), F.col("n_chars").alias("last_accessed_at"))
     return memory.retrieve_facts(f, None, user_id="src0", query="the and").select("id", "score")
 
 

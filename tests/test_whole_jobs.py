@@ -73,3 +73,20 @@ def test_vectors_ask_every_hundredth_row(spark, tmp_path, monkeypatch):
     for q in range(0, 620, 100):
         order = sorted((-s, i) for (x, i), s in got.items() if x == q and i != q)[:10]
         assert [(-r.score, r.vec_id) for r in sorted(top, key=lambda r: r["rank"]) if r.query_id == q] == order
+
+
+def test_facts_are_scored_over_their_whole_text(spark, tmp_path):
+    filler = "zzz " * 60
+    texts = {1: filler + "the and the", 2: "the and", 3: filler, 4: None, 5: "", 6: "other the", 7: filler + "and " * 400}
+    rows = [(i, t, "src1" if i == 6 else "src0", "en", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def score(text):
+        ws = re.split(r"\s+", text.lower())
+        hits = [sum(w in q or q in w for w in ws) for q in ("the", "and")]
+        return sum(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ws) / 50)) for tf in hits)
+
+    scores = {i: score(t) for i, t in texts.items() if i != 6 and t is not None}
+    want = {i: 0.8 * s for i, s in scores.items() if s > 0.5}
+    got = {r.id: r.score for r in queries.QUERIES["fact_retrieve_topk"](spark, str(tmp_path)).collect()}
+    assert {1, 7} <= set(want) and got == pytest.approx(want, abs=1e-6)
