@@ -7,7 +7,8 @@ projections, which is the order of estimated success, and the candidates of
 all tables are ranked by the exact cosine on the original vectors.
 
 How many buckets are visited is measured: on a bounded sample, the smallest
-number that finds TARGET of the exact neighbours. Equal vectors form a class
+number that finds TARGET of the exact neighbours. Where MOST_PROBES do not,
+all queries are compared with all rows, in the same blocks. Equal vectors form a class
 that is hashed and compared once.
 
 Buckets are dealt into groups of about GROUP rows. A group that has more rows
@@ -30,6 +31,8 @@ WIDTH = 2.5
 GROUP = 4096
 #: Rows and queries of the sample that sets the number of probes, and the recall it has to reach there.
 SAMPLE_ROWS, SAMPLE_QUERIES, TARGET = 8192, 200, 0.95
+#: Most buckets of a table that a query visits.
+MOST_PROBES = 512
 
 
 class Hashes:
@@ -88,8 +91,8 @@ def hashes_for(n: int) -> int:
     return int(np.clip(round(np.log2(max(n, 2)) / 2), 2, 16))
 
 
-def measured_probes(sample: np.ndarray, hashes: Hashes, k: int, target: float = TARGET) -> int:
-    """The smallest number of probes a table that finds `target` of the k exact neighbours of the sample's queries. In a sample neighbours are farther than in all rows, so this is on the safe side."""
+def measured_probes(sample: np.ndarray, hashes: Hashes, k: int, target: float = TARGET) -> int | None:
+    """The smallest number of probes a table that finds `target` of the k exact neighbours of the sample's queries; None if MOST_PROBES do not. In a sample neighbours are farther than in all rows, so this is on the safe side."""
     n = len(sample)
     if n <= k + 1:
         return 1
@@ -103,11 +106,11 @@ def measured_probes(sample: np.ndarray, hashes: Hashes, k: int, target: float =
     best = np.full((len(queries), k), 1 << 30)
     for i, q in enumerate(queries):
         for t in range(TABLES):
-            visit = hashes.keys(hashes.probes(projected[t][q], 512), t)
+            visit = hashes.keys(hashes.probes(projected[t][q], MOST_PROBES), t)
             rank = {key: r for r, key in enumerate(visit.tolist())}
             best[i] = np.minimum(best[i], [rank.get(x, 1 << 30) for x in keys[t][exact[i]].tolist()])
     need = np.sort(best.ravel())[min(best.size - 1, int(np.ceil(target * best.size)) - 1)]
-    return int(min(need + 1, 512))
+    return int(need + 1) if need < MOST_PROBES else None
 
 
 def _search(k: int):
@@ -159,7 +162,8 @@ def nearest(df: DataFrame, is_query, *, id_col: str = "vec_id", vector: str = "e
     hold null or non-finite components take no part, nor do those of another
     dimension than most, nor rows with a null id; of rows that repeat an id
     and a vector one counts. A query for which fewer than k were found is
-    compared with all rows. An empty table gives an empty result.
+    compared with all rows, and so is every query where the sample's recall
+    does not reach the target. An empty table gives an empty result.
     """
     spark = df.sparkSession
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -204,18 +208,21 @@ def nearest(df: DataFrame, is_query, *, id_col: str = "vec_id", vector: str = "e
 
     index = classes.select("cls", "v").mapInPandas(bucket, "cls long, v array<double>, table int, key long, grp int")
     asked = classes.where("q").select("cls", "v")
-    first = _pass(index, asked.mapInPandas(visit, "cls long, v array<double>, table int, grp int, keys array<long>"), k + 1)
 
     def best(found: DataFrame) -> DataFrame:
         once = found.groupBy("query", "cls").agg(F.max("score").alias("score"))
         return once.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))).where(F.col("r") <= k + 1).drop("r")
 
-    found = materialise(best(first), "found")
-    short = asked.join(found.groupBy("query").count().where(F.col("count") > k), F.col("cls") == F.col("query"), "left_anti")
-    # Too few found: one table, all its groups, every bucket.
+    if probes is None:
+        found, short = None, asked
+    else:
+        first = _pass(index, asked.mapInPandas(visit, "cls long, v array<double>, table int, grp int, keys array<long>"), k + 1)
+        found = materialise(best(first), "found")
+        short = asked.join(found.groupBy("query").count().where(F.col("count") > k), F.col("cls") == F.col("query"), "left_anti")
+    # Too few found, or no number of probes is enough: one table, all its groups, every bucket.
     again = short.select("cls", "v", F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(None).cast("array<long>").alias("keys"))
     rest = materialise(best(_pass(index.where("table = 0"), again, k + 1)), "found")
-    ranked = found.join(rest.select("query").distinct(), "query", "left_anti").unionByName(rest)
+    ranked = rest if found is None else found.join(rest.select("query").distinct(), "query", "left_anti").unionByName(rest)
     # Of a class no more than its k + 1 smallest ids can be among the k nearest.
     some = members.select("id", "cls").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     pairs = members.where("q").select(F.col("id").alias("query_id"), F.col("cls").alias("query")).join(ranked, "query").join(some, "cls").where("id <> query_id")
