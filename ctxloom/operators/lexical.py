@@ -16,9 +16,12 @@ def inverted_index(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
     """id, term, tf, length: one row for each document and distinct term. Counted within the row, so building it shuffles nothing."""
     found = docs.select(F.col(id_col), tokens(F.col(text)).alias("t"))
     found = found.withColumn("length", F.size("t").cast("long"))
-    # Sorted terms stand in runs; a run's length is the term's frequency.
-    runs = found.withColumn("t", F.array_sort("t")).select(id_col, "length", F.explode(F.array_distinct("t")).alias("term"), "t")
-    return runs.select(id_col, "term", (F.size("t") - F.size(F.array_remove("t", F.col("term")))).cast("long").alias("tf"), "length")
+    # Sorted terms stand in runs; a run's length is the term's frequency. Runs are made before they are exploded, so that no row carries all terms.
+    found = found.where("length > 0").withColumn("t", F.array_sort("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    found = found.withColumn("starts", starts).withColumn("ends", F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("t"))))
+    runs = F.zip_with("starts", "ends", lambda i, j: F.struct(F.get("t", i).alias("term"), (j - i).cast("long").alias("tf")))
+    return found.select(id_col, "length", F.explode(runs).alias("run")).select(id_col, "run.term", "run.tf", "length")
 
 
 def term_frequencies(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:

@@ -106,12 +106,12 @@ def tokenize_stats(spark, sf_dir):
 
 @query(f"SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY ALL")
 def term_freq(spark, sf_dir):
-    return lexical.term_frequencies(table(spark, sf_dir, "benchmark"), id_col="item_id", text="text")
+    return lexical.term_frequencies(table(spark, sf_dir, "documents"), id_col="doc_id", text="text")
 
 
 @query(f"SELECT item_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT item_id, len({_tok('text')})::BIGINT AS length, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY item_id, term")
 def inverted_index(spark, sf_dir):
-    return lexical.inverted_index(table(spark, sf_dir, "benchmark"), id_col="item_id", text="text")
+    return lexical.inverted_index(table(spark, sf_dir, "documents"), id_col="doc_id", text="text")
 
 
 @query(f"""WITH d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_tok('text')})) AS term FROM documents) GROUP BY term), n AS (SELECT count(*) AS n FROM documents)

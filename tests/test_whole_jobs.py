@@ -90,3 +90,13 @@ def test_facts_are_scored_over_their_whole_text(spark, tmp_path):
     want = {i: 0.8 * s for i, s in scores.items() if s > 0.5}
     got = {r.id: r.score for r in queries.QUERIES["fact_retrieve_topk"](spark, str(tmp_path)).collect()}
     assert {1, 7} <= set(want) and got == pytest.approx(want, abs=1e-6)
+
+
+def test_every_document_is_indexed(spark, tmp_path):
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(ASKED.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(i, w, n, len(words(t))) for i, t in TEXTS.items() for w, n in Counter(words(t)).items()}
+    index = queries.QUERIES["inverted_index"](spark, str(tmp_path)).collect()
+    assert len(index) == len(want) and {(r.doc_id, r.term, r.tf, r.length) for r in index} == want
+    tf = queries.QUERIES["term_freq"](spark, str(tmp_path)).collect()
+    assert len(tf) == len(want) and {(r.doc_id, r.term, r.tf) for r in tf} == {x[:3] for x in want}
