@@ -53,7 +53,7 @@ STAGES = [
     ("BPE encoding and decoding", tokenize),
 ]
 
-#: A trained classifier and a tokenizer have no SQL; tests hold each stage against a plain version.
+#: A trained classifier and a tokenizer have no SQL. tests/llm holds the operators against plain versions; the stages' own steps and run() have no test yet.
 ORACLE_SQL = None
 
 
