@@ -42,11 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table that materialise() made and no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        remove_path(df.sparkSession, folder)
+
+
+def remove_path(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that fresh_path() named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

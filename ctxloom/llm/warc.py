@@ -2,11 +2,16 @@
 
 write_arc() lays pages down as ARC files, each with a version block first;
 read_arc() parses them by the header line that their version declares and by
-the declared lengths; write_warc() writes equivalent WARC files with
-synthesised identifiers, timestamps, types and digests; read_warc() reads
-those. Files are gzipped, RECORDS records each, and written and read through
-Spark's own writers and readers, so any store will do. A reading task holds
-one file.
+the declared lengths; write_warc() turns each ARC file into an equivalent WARC
+file with synthesised identifiers, timestamps, types and digests; read_warc()
+reads those. Files are gzipped and written and read through Spark's own
+writers and readers, so any store will do.
+
+A file is cut when its records hold FILE_BYTES, and a reading task holds one
+file, so memory is bounded by FILE_BYTES and the longest page. Payloads are
+never shuffled: which records revisit which is decided on digests and ids
+alone, and each WARC file is made from its ARC file and that file's list of
+revisits.
 """
 
 from __future__ import annotations
@@ -25,9 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, small_batches
+from .common import fresh_path, materialise, remove, remove_path, small_batches
 
-RECORDS = 500
+#: Bytes of records in one file, before compression; a longer record has a file of its own.
+FILE_BYTES = 16_000_000
+#: Lists of revisits that are sent to all readers, in rows; more are joined with their files by a shuffle.
+BROADCAST_REVISITS = 200_000
+#: Parts into which the records of one payload are dealt.
+PARTS = 32
 #: The legacy archives need a fetch date, an address and a type; tables of pages have none.
 DATE, ADDRESS, MIME = "20240101000000", "0.0.0.0", "text/html"
 #: Fixed header lines of the two versions.
@@ -52,9 +62,18 @@ def _http(page_id, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\n{mark}Content-Type: {MIME}; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
 
 
-def _headers(block: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, body = block.partition(b"\r\n\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode(errors="replace").split("\r\n")[1:])}, body
+_ID, _LENGTH = re.compile(rb"\r\nX-Page-Id: (-?\d+)\r\n"), re.compile(rb"\r\nContent-Length: (\d+)\r\n")
+
+
+def _halves(block: bytes) -> tuple[bytes, bytes]:
+    """HTTP head, with the empty line that ends it, and payload."""
+    end = block.index(b"\r\n\r\n") + 4
+    return block[:end], block[end:]
+
+
+def _page(head: bytes) -> int | None:
+    found = _ID.search(head)
+    return int(found[1]) if found else None
 
 
 def version_block(version: int, name: str) -> bytes:
@@ -98,33 +117,50 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         at = end + 1 + length
 
 
-def write_arc(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", path: str | None = None) -> str:
-    """Write pages as ARC files, versions in turn, and return the folder. Null html is an empty payload; null and odd URLs are written as '-' and percent-encoded."""
+def _gzip_files(files: DataFrame, path: str, end: str) -> None:
+    """One file a row of value. A writer's task sees each file as one record, so files are cut where their rows are."""
+    lines = files.select(F.col("value").cast("string")).write.option("lineSep", end)
+    lines.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
+def write_arc(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", path: str | None = None, file_bytes: int = FILE_BYTES) -> str:
+    """Write pages as ARC files, versions in turn, and return the folder.
+
+    Null html is an empty payload; null and odd URLs are written as '-' and
+    percent-encoded; a null id has no id line. Rows that repeat have a record
+    each, pages of any length are whole, other columns are not read, and an
+    empty table gives files without records.
+    """
     small_batches(pages.sparkSession)
     path = path or fresh_path(pages.sparkSession, "arc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n, version, name = TaskContext.get().partitionId(), 0, 1, ""
+        part, n, size, out, version, name = TaskContext.get().partitionId(), 0, 0, [], 1, ""
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
-                out = []
                 for page, link, text in zip(*(c.slice(start, 64).to_pylist() for c in batch.columns)):
-                    if n % (RECORDS - 1) == 0:
-                        version = 1 + (part + n // (RECORDS - 1)) % 2
-                        name = f"pages-{part:05d}-{n // (RECORDS - 1):05d}.arc"
-                        out.append(version_block(version, name))
+                    if not out:
+                        version, name = 1 + (part + n) % 2, f"pages-{part:05d}-{n:05d}.arc"
+                        out, n = [version_block(version, name)], n + 1
                     out.append(arc_record(version, name, page, link, text or b""))
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    rows = pages.select(F.col(id_col).cast("long"), F.col(url).cast("string"), F.col(html).cast("binary")).mapInArrow(run, "value binary")
-    # One row a record, so the writer's limit of rows a file falls on version blocks.
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+                    size += len(out[-1])
+                    if size >= file_bytes:
+                        yield _one(b"\n".join(out))
+                        out, size = [], 0
+        if out:
+            yield _one(b"\n".join(out))
+
+    rows = pages.select(F.col(id_col).cast("long"), F.col(url).cast("string"), F.col(html).cast("binary"))
+    _gzip_files(rows.mapInArrow(run, "value binary"), path, "\n")
     return path
 
 
+def _one(value: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
+
+
 def _plain(data: bytes) -> bytes:
     return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
 
@@ -133,36 +169,37 @@ def _files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
 
 
-def read_arc(spark, path: str, blocks: bool = True) -> DataFrame:
-    """Records of ARC files, converted: uid, page_id, url, ip, date (of WARC), mime, payload_bytes, payload_digest and, if asked for, head and payload.
+def _converted(file: str, data: bytes) -> Iterator[tuple]:
+    """Of each record of an ARC file: place, uid, page_id, WARC date, the ARC fields, head and payload.
 
-    uid is a name-based UUID of file and offset, so a second reading gives it again.
+    uid is a name-based UUID of file and offset, so another reading gives it again.
     """
-    names = ["uid", "page_id", "url", "ip", "date", "mime", "payload_bytes", "payload_digest"] + ["head", "payload"] * blocks
+    name = file.rsplit("/", 1)[-1]
+    for r in parse_arc(data):
+        head, payload = _halves(r["block"])
+        d = r["archive-date"]
+        date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+        yield r["offset"], str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{r['offset']}")), _page(head), date, r, head, payload
+
+
+def read_arc(spark, path: str) -> DataFrame:
+    """The records of ARC files without their blocks: file, at (the record's place in it), uid, page_id, payload_bytes, payload_digest.
+
+    Records are as many as the files declare, empty payloads and repeated
+    records included; a record shorter than its declared length, an unknown
+    version or a header line with other fields than its version's is an error.
+    """
+    names = ["file", "at", "uid", "page_id", "payload_bytes", "payload_digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows: list[tuple] = []
-                size = 0
-                for r in parse_arc(_plain(content.as_py())):
-                    headers, payload = _headers(r["block"])
-                    d = r["archive-date"]
-                    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    uid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{file.rsplit('/', 1)[-1]}#{r['offset']}"))
-                    page = int(headers["x-page-id"]) if "x-page-id" in headers else None
-                    row = (uid, page, r["url"], r["ip-address"], date, r["content-type"], len(payload), _digest(payload))
-                    rows.append(row + (r["block"][: len(r["block"]) - len(payload)], payload) if blocks else row)
-                    size += len(payload)
-                    if size > 4_000_000:
-                        yield _rows(rows, names)
-                        rows, size = [], 0
-                yield _rows(rows, names)
+                yield _rows([(file, at, uid, page, len(payload), _digest(payload)) for at, uid, page, _, _, _, payload in _converted(file, _plain(content.as_py()))], names)
 
-    return _files(spark, path).mapInArrow(run, "uid string, page_id long, url string, ip string, date string, mime string, payload_bytes long, payload_digest string" + ", head binary, payload binary" * blocks)
+    return _files(spark, path).mapInArrow(run, "file string, at long, uid string, page_id long, payload_bytes long, payload_digest string")
 
 
-_KINDS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "head": pa.binary(), "payload": pa.binary(), "refers_to": pa.int64()}
+_KINDS = {"at": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64()}
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -170,24 +207,32 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS.get(n, pa.string())) for n, c in zip(names, columns)], names)
 
 
-def record_types(records: DataFrame, least: int = 0) -> DataFrame:
-    """uid, record_type, refers_uid: of records with equal payloads of at least `least` bytes, that with the smallest page_id (nulls last, then the smallest uid) is the response, the others revisit it."""
+def revisits(records: DataFrame, least: int = 0) -> DataFrame:
+    """file, at, refers_uid of the records that revisit another.
+
+    Of records with equal payloads of at least `least` bytes, that with the
+    smallest page_id (nulls last, then the smallest uid) is the response, the
+    others revisit it. A payload that very many records share is dealt into
+    PARTS parts, before it is counted and when its records meet the response.
+    """
     of = F.struct(F.col("page_id").isNull().alias("o"), F.col("page_id").alias("p"), F.col("uid").alias("u"))
-    first = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(of).alias("f"), F.count("*").alias("n")).where("n > 1").select("payload_digest", F.col("f.u").alias("first"))
-    known = records.select("uid", "payload_digest", "payload_bytes").join(first, "payload_digest", "left")
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("uid")) & (F.col("payload_bytes") >= least)
-    return known.select("uid", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_uid"))
-
-
-def warc_record(r: dict) -> bytes:
-    """Without the two line ends that follow a record."""
-    revisit = r["record_type"] == "revisit"
-    block = r["head"] + (b"" if revisit else r["payload"])
-    lines = ["WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: <urn:uuid:{r['uid']}>", f"WARC-Date: {r['date']}", f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}", f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"WARC-Block-Digest: sha1:{_digest(block)}"]
-    if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{r['refers_uid']}>"]
-    kind = "response" if r["head"] else "resource"
-    lines += [f"Content-Type: application/http; msgtype={kind}", f"Content-Length: {len(block)}"]
+    long = records.where(F.col("payload_bytes") >= least).withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(PARTS)))
+    parts = long.groupBy("payload_digest", "part").agg(F.min(of).alias("f"), F.count("*").alias("n"))
+    first = parts.groupBy("payload_digest").agg(F.min("f").alias("f"), F.sum("n").alias("n")).where("n > 1").select("payload_digest", F.col("f.u").alias("refers_uid"))
+    known = parts.select("payload_digest", "part").join(first, "payload_digest")
+    return long.join(known, ["payload_digest", "part"]).where("uid <> refers_uid").select("file", "at", "refers_uid")
+
+
+def warc_record(uid: str, date: str, arc: dict, head: bytes, payload: bytes, refers: str | None) -> bytes:
+    """A response, or a revisit if it refers to one. Without the two line ends that follow a record."""
+    block = head if refers else head + payload
+    lines = [
+        "WARC/1.1", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: <urn:uuid:{uid}>", f"WARC-Date: {date}", f"WARC-Target-URI: {arc['url']}",
+        f"WARC-IP-Address: {arc['ip-address']}", f"WARC-Payload-Digest: sha1:{_digest(payload)}", f"WARC-Block-Digest: sha1:{_digest(block)}",
+    ]
+    if refers:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{refers}>"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
@@ -197,26 +242,28 @@ def warcinfo(name: str) -> bytes:
     return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uid}>\r\nWARC-Date: {DATE[:4]}-{DATE[4:6]}-{DATE[6:8]}T00:00:00Z\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
 
 
-def write_warc(records: DataFrame, types: DataFrame, path: str | None = None) -> str:
-    """Write converted records as WARC files and return the folder."""
-    path = path or fresh_path(records.sparkSession, "warc")
+def write_warc(spark, arc: str, again: DataFrame, path: str | None = None) -> str:
+    """Convert the ARC files in a folder, one WARC file each, and return the folder of these.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    again: the records that are revisits, as revisits() gives them; all others
+    are responses, with their payloads whole. An ARC file without records
+    becomes a WARC file without any, and repeated records stay repeated.
+    """
+    path = path or fresh_path(spark, "warc")
 
-        part, n = TaskContext.get().partitionId(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                out = []
-                for r in batch.slice(start, 64).to_pylist():
-                    if n % (RECORDS - 1) == 0:
-                        out.append(warcinfo(f"pages-{part:05d}-{n // (RECORDS - 1):05d}.warc"))
-                    out.append(warc_record(r))
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    rows = records.join(types, "uid").withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload"))).mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+            for file, content, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                refers = {r["at"]: r["refers_uid"] for r in listed.as_py() or ()}
+                out = [warcinfo(file.rsplit("/", 1)[-1])]
+                out += [warc_record(uid, date, fields, head, payload, refers.get(at)) for at, uid, _, date, fields, head, payload in _converted(file, _plain(content.as_py()))]
+                yield _one(b"\r\n\r\n".join(out))
+
+    # No more lists than files, and in a list no more entries than its file has records.
+    listed = again.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("at", "refers_uid")).alias("again"))
+    if again.count() <= BROADCAST_REVISITS:
+        listed = F.broadcast(listed)
+    _gzip_files(_files(spark, arc).join(listed, "path", "left").mapInArrow(run, "value binary"), path, "\r\n\r\n")
     return path
 
 
@@ -237,7 +284,11 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records of WARC files: uid, page_id, record_type, refers_uid, payload_bytes, payload_digest; a response's digest is checked against its payload."""
+    """Records of WARC files: uid, page_id, record_type, refers_uid, payload_bytes, payload_digest.
+
+    A response's digest is checked against its payload; a record that has
+    another is an error. Files without records, and repeated records, are fine.
+    """
     names = ["uid", "page_id", "record_type", "refers_uid", "payload_bytes", "payload_digest"]
     urn = lambda v: v[len("<urn:uuid:") : -1] if v else None
 
@@ -248,28 +299,39 @@ def read_warc(spark, path: str) -> DataFrame:
                 for fields, block in parse_warc(_plain(content.as_py())):
                     if fields["warc-type"] == "warcinfo":
                         continue
-                    headers, payload = _headers(block)
+                    head, payload = _halves(block)
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     if fields["warc-type"] == "response" and _digest(payload) != digest:
                         raise ValueError(f"{fields['warc-record-id']}: the payload doesn't have the digest that is given")
-                    page = int(headers["x-page-id"]) if "x-page-id" in headers else None
-                    rows.append((urn(fields["warc-record-id"]), page, fields["warc-type"], urn(fields.get("warc-refers-to")), int(headers["content-length"]), digest))
+                    length = int(_LENGTH.search(head)[1])
+                    rows.append((urn(fields["warc-record-id"]), _page(head), fields["warc-type"], urn(fields.get("warc-refers-to")), length, digest))
                 yield _rows(rows, names)
 
     return _files(spark, path).mapInArrow(run, "uid string, page_id long, record_type string, refers_uid string, payload_bytes long, payload_digest string")
 
 
-def convert(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
+def convert(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC records read back: page_id, payload_bytes, payload_digest, record_type, refers_to (the page_id of the response).
 
     One row for each page; repeated rows have a record each, and the response
-    is one of them. An empty table gives an empty result.
+    is one of them. Null html is an empty payload; a null page_id is the
+    response of its payload only if no other page has it, and refers_to is then
+    null for revisits too. Pages of any length are whole; other columns are not
+    read; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    arc = write_arc(pages, id_col=id_col, url=url, html=html)
-    if not len(_files(spark, arc).select("path").take(1)):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    types = record_types(read_arc(spark, arc, blocks=False).select("uid", "page_id", "payload_bytes", "payload_digest"), least)
-    back = read_warc(spark, write_warc(read_arc(spark, arc), types))
-    response = back.where("record_type = 'response'").select(F.col("uid").alias("refers_uid"), F.col("page_id").alias("refers_to"))
-    return back.join(response, "refers_uid", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    arc = write_arc(pages, id_col=id_col, url=url, html=html, file_bytes=file_bytes)
+    records = materialise(read_arc(spark, arc), "records")
+    again = materialise(revisits(records, least), "revisits")
+    warc = write_warc(spark, arc, again)
+    back = materialise(read_warc(spark, warc), "back")
+    for folder in (arc, warc):
+        remove_path(spark, folder)
+    remove(records), remove(again)
+    response = back.where("record_type = 'response'")
+    revisit = back.where("record_type = 'revisit'").withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(PARTS)))
+    # Each response once for a part that refers to it.
+    asked = revisit.select("refers_uid", "part").distinct()
+    known = asked.join(response.select(F.col("uid").alias("refers_uid"), F.col("page_id").alias("refers_to")), "refers_uid")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return response.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisit.join(known, ["refers_uid", "part"], "left").select(columns))
