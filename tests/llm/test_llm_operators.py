@@ -207,7 +207,7 @@ def test_token_counts(docs, rows, spark, none):
     assert list(token_counts.allot(np.array([2, 3]), np.array([1, 3, 5]), "start")[0]) == [1, 1, 0]
 
 
-ALPHABET = ["abcdefgh", "the", "ing", "'s", "'re", "'", "!!!", "12", "é", "Éß", "日本", "́", "İ", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "-", "tion", " ", " ", "'v", "l", "ſ", "ǰ", "J̌", "\n"]
+ALPHABET = ["abcdefgh", "the", "ing", "'s", "'re", "'", "!!!", "12", "é", "Éß", "日本", "́", "İ", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "-", "tion", " ", " ", "'v", "l", "ſ", "ǰ", "J̌", "\n", "</w>", "\u3000", "e\u0301", "123"]
 
 
 def test_bpe_is_exact(spark, none):
@@ -222,9 +222,10 @@ def test_bpe_is_exact(spark, none):
     for r in got:
         ids = whole.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == whole.decode(ids, skip_special_tokens=False)
-    codec = bpe.Codec(path, long=8, leaf=4, window=1)
-    long = [t.encode() for t in texts if t]
-    assert codec.encode(long) == [whole.encode(t.decode(), add_special_tokens=False).ids for t in long]
+    for leaf, window in ((4, 1), (7, 2), (64, 8)):
+        ids, joins = bpe.Codec(path, long=8, leaf=leaf, window=window).encode([t or "" for t in texts])
+        assert [i.tolist() for i in ids] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert sum(j > 0 for j in joins) > 30
     assert bpe.encode(none, path).count() == 0
 
 
