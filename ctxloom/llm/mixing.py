@@ -3,16 +3,16 @@
 Within a source, documents stand in a line ordered by size; each has the
 same number of expected copies, target / source size. The running sum of
 expected copies, moved by one random offset a source, crosses an integer
-boundary as often as the document is emitted. The line is ordered by size so
-that the words taken, and not the number of documents alone, come near the
-target; of OFFSETS offsets, spread evenly from a random one, a source uses the
-one whose words come nearest, which matters where a few long documents hold
-much of a source.
+boundary as often as the document is emitted, so every document's number of
+copies is its expected one on average. The line is ordered by size so that the
+words taken, and not the number of documents alone, come near the target: they
+differ from it by less than the source's longest document has words.
 
 Scale: no source is ever in one task. A document belongs to a cell (source,
-size class, block), where the block is a hash of its id and the number of
-blocks grows with the rows. Running sums are taken over cells, of which there
-are few, and then within each cell. One shuffle carries the rows.
+size class, block), where the block is a hash of the row and the number of
+blocks grows with rows and bytes. Running sums are taken over size classes,
+over the blocks of a class, and then within each cell. One shuffle carries the
+rows. Sources themselves are ranked in one task, a row a source.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own_name, word_count
+from .common import materialise, own_name, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
-ROWS_PER_BLOCK = 200_000
-OFFSETS = 32
+#: What a block of all rows holds at most; a cell holds a source's and a size class's part of it.
+ROWS_PER_BLOCK, BYTES_PER_BLOCK = 20_000, 256_000_000
 
 
 def targets(df: DataFrame, source: str, size: str, weights=WEIGHTS, budget: float = 1.0, cap: float = MOST_COPIES) -> DataFrame:
@@ -56,61 +56,59 @@ def targets(df: DataFrame, source: str, size: str, weights=WEIGHTS, budget: floa
     return per.select("__s", "source_size", F.greatest(target, zero).alias("target"))
 
 
-def _mixed(df: DataFrame, source: str, id_col: str, text: str, weights, budget: float, cap: float, seed: int, size_col: str | None) -> tuple[DataFrame, dict[str, str]]:
+def _mixed(df: DataFrame, source: str, id_col: str, text: str, weights, budget: float, cap: float, seed: int, size_col: str | None, tie_col: str | None) -> tuple[DataFrame, dict[str, str]]:
     """df with size, source_size, target and copies under names that df doesn't have; and those names."""
-    name = {x: own_name(df, x) for x in ("size", "source_size", "target", "copies", "class", "block", "src", "at", "before", "n", "source", "offset")}
-    size, cls, block, src = (F.col(name[x]) for x in ("size", "class", "block", "src"))
+    name = {x: own_name(df, x) for x in ("size", "source_size", "target", "copies", "class", "block", "src", "at", "before", "n", "tie")}
+    size, src = F.col(name["size"]), F.col(name["src"])
     cell = [name["src"], name["class"], name["block"]]
+    whole = text in df.columns
+    tie = F.col(tie_col) if tie_col else F.xxhash64(F.col(text)) if whole else F.lit(0)
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if whole else F.lit(0)).first()
+    blocks = max(1, -(-n // ROWS_PER_BLOCK), -(-held // BYTES_PER_BLOCK))
     rows = df.withColumn(name["size"], F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")) if size_col else word_count(F.col(text)))
-    blocks = max(1, -(-df.count() // ROWS_PER_BLOCK))
     rows = rows.withColumn(name["class"], F.when(size > 0, F.floor(8 * F.log2(size.cast("double")))).otherwise(-1).cast("int"))
-    rows = rows.withColumn(name["block"], F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn(name["tie"], tie).withColumn(name["block"], F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(name["tie"])), F.lit(blocks)).cast("int"))
     rows = rows.withColumn(name["src"], F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null")))
-    rate = targets(rows, source, name["size"], weights, budget, cap).withColumnsRenamed({"__s": name["source"], "source_size": name["source_size"], "target": name["target"]})
-    cells = rows.groupBy(*cell, F.col(source).alias("__cs")).agg(F.count("*").alias(name["n"]))
-    line = Window.partitionBy(src).orderBy(cls, block).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn(name["before"], F.coalesce(F.sum(name["n"]).over(line), F.lit(0)))
-    cells = cells.join(rate, F.col("__cs").eqNullSafe(F.col(name["source"]))).drop(name["source"], "__cs", name["n"])
-    ties = [F.col(id_col)] + ([F.xxhash64(F.col(text))] if text in df.columns else [])
-    within = Window.partitionBy(*cell).orderBy(size, *ties)
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.sum(size).alias("words"), F.any_value(source).alias("source")).withColumnsRenamed(dict(zip(cell, ("src", "class", "block"))))
+    cells = materialise(cells, "cells")
+    rate = targets(cells, "source", "words", weights, budget, cap).select(F.coalesce(F.concat(F.lit("s"), F.col("__s").cast("string")), F.lit("null")).alias("src"), F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"]))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sum_of = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    classes = cells.groupBy("src", "class").agg(F.sum("n").alias("n")).withColumn("low", sum_of("n", earlier("src").orderBy("class")))
+    starts = cells.withColumn("in", sum_of("n", earlier("src", "class").orderBy("block"))).select("src", "class", "block", "in").join(classes.select("src", "class", "low"), ["src", "class"]).join(rate, "src")
+    starts = starts.withColumn(name["before"], F.col("low") + F.col("in")).drop("low", "in").withColumnsRenamed(dict(zip(("src", "class", "block"), cell)))
+    # Window and join deal rows by the same columns: one shuffle for both.
+    out = rows.withColumn(name["at"], F.row_number().over(Window.partitionBy(*cell).orderBy(size, F.col(id_col), F.col(name["tie"])))).join(starts, cell, "left")
     rate_of = F.coalesce(F.try_divide(F.col(name["target"]), F.col(name["source_size"]).cast("double")), F.lit(0.0))
     at = F.col(name["before"]) + F.col(name["at"])
-    start = F.pmod(F.xxhash64(F.lit(seed), src), F.lit(1 << 30)).cast("double") / float(1 << 30)
-
-    def copies_at(offset: Column) -> Column:
-        return F.floor(at * rate_of + offset) - F.floor((at - 1) * rate_of + offset)
-
-    # Window and join deal rows by the same columns: one shuffle for both.
-    place = F.row_number().over(within)
-    line_up = lambda r, c: r.withColumn(name["at"], place).join(c, cell, "left")
-    offsets = [F.pmod(start + k / OFFSETS, F.lit(1.0)) for k in range(OFFSETS)]
-    sums = line_up(rows, cells).groupBy(src, name["target"]).agg(*[F.sum(copies_at(o) * size).alias(f"__{k}") for k, o in enumerate(offsets)])
-    far = F.array(*[F.struct(F.abs(F.col(f"__{k}") - F.col(name["target"])).alias("far"), o.alias("offset")) for k, o in enumerate(offsets)])
-    best = sums.select(name["src"], F.array_min(far)["offset"].alias(name["offset"]))
-    out = line_up(rows, cells.join(best, name["src"]))
-    copies = copies_at(F.col(name["offset"]))
+    offset = F.pmod(F.xxhash64(F.lit(seed), src), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    copies = F.floor(at * rate_of + offset) - F.floor((at - 1) * rate_of + offset)
     # Rounding in the running sum can add no copy beyond the next whole number.
-    out = out.withColumn(name["copies"], F.least(copies, F.ceil(rate_of)).cast("long"))
-    return out, name
+    return out.withColumn(name["copies"], F.least(copies, F.ceil(rate_of)).cast("long")), name
 
 
-def mix(df: DataFrame, *, source: str = "source", id_col: str = "doc_id", text: str = "text", weights=WEIGHTS, budget: float = 1.0, cap: float = MOST_COPIES, seed: int = 7, size_col: str | None = None) -> DataFrame:
+def mix(df: DataFrame, *, source: str = "source", id_col: str = "doc_id", text: str = "text", weights=WEIGHTS, budget: float = 1.0, cap: float = MOST_COPIES, seed: int = 7, size_col: str | None = None, tie_col: str | None = None) -> DataFrame:
     """df with the columns size, source_size, target, copies.
 
     size is the number of words of text (or size_col, if given). Every row
     stays, with copies possibly 0; sample() repeats rows. Null sources form a
     source of their own. Null and empty texts have size 0 and may be emitted
-    at no cost. Rows that repeat, with equal ids, are ordered by text and are
-    each counted. An empty table gives an empty result. Columns of df named
-    size, source_size, target or copies are replaced.
+    at no cost; null ids are ordered first. Rows that repeat, with equal ids,
+    are ordered by tie_col (a hash of text, if none is given) and are each
+    counted. An empty table gives an empty result. Columns of df named size,
+    source_size, target or copies are replaced.
     """
-    out, name = _mixed(df, source, id_col, text, weights, budget, cap, seed, size_col)
+    out, name = _mixed(df, source, id_col, text, weights, budget, cap, seed, size_col, tie_col)
     new = ("size", "source_size", "target", "copies")
     return out.select(*[c for c in df.columns if c not in new], *[F.col(name[c]).alias(c) for c in new])
 
 
-def sample(df: DataFrame, *, source: str = "source", id_col: str = "doc_id", text: str = "text", weights=WEIGHTS, budget: float = 1.0, cap: float = MOST_COPIES, seed: int = 7, size_col: str | None = None) -> DataFrame:
-    """The mix itself: each row of df as often as mix() says, with df's columns."""
-    out, name = _mixed(df, source, id_col, text, weights, budget, cap, seed, size_col)
+def sample(df: DataFrame, *, source: str = "source", id_col: str = "doc_id", text: str = "text", weights=WEIGHTS, budget: float = 1.0, cap: float = MOST_COPIES, seed: int = 7, size_col: str | None = None, tie_col: str | None = None) -> DataFrame:
+    """The mix itself: each row of df as often as mix() says, with df's columns, whatever their names.
+
+    Nulls, empty texts and repeated rows as in mix(). Long texts count towards
+    BYTES_PER_BLOCK. An empty table gives an empty result.
+    """
+    out, name = _mixed(df, source, id_col, text, weights, budget, cap, seed, size_col, tie_col)
     repeated = out.where(F.col(name["copies"]) > 0).withColumn(name["n"], F.explode(F.array_repeat(F.lit(0), F.col(name["copies"]).cast("int"))))
     return repeated.select(*df.columns)

@@ -20,9 +20,9 @@ def vocabulary() -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash"))
     sized = materialise(sized, "sizes")  # texts are counted once
-    mixed = mixing.mix(sized, size_col="words")
+    mixed = mixing.mix(sized, size_col="words", tie_col="text_hash")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -41,12 +41,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.encode(docs, vocabulary(), decoded="decoded")
+    out = bpe.encode(docs, vocabulary(), decoded="decoded", joins="joins")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "joins",
     )
 
 
