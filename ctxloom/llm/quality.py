@@ -180,12 +180,20 @@ def _spread_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Network:
-    """Fit on at most `rows` labelled rows, chosen by a hash of the id; held-out ids and null labels are left out. An id with several labels counts by the smallest."""
+    """Fit on at most `rows` labelled rows, chosen by a hash of the id.
+
+    Held-out and null ids and null labels are left out. An id with several
+    labels counts by the smallest; of several texts with one id one counts, so
+    the driver gets `rows` rows at most. Null texts count as empty; of long
+    ones TRAIN_CHUNKS chunks count. Without rows, or with labels of one kind,
+    the network is constant.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label).alias("__label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     found = docs.select(id_col, text).join(F.broadcast(chosen), id_col)  # bounded by `rows`
-    sample = found.select(F.col(id_col).cast("string").alias("id"), F.col("__label").cast("double").alias("label"), F.col(text).alias("text")).mapInArrow(_spread_chunks, "id string, label double, chunks array<binary>").collect()
-    sample = sorted(sample, key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], [bytes(c) for c in r["chunks"]]))[:rows]
+    sample = found.select(F.col(id_col).cast("string").alias("id"), F.col("__label").cast("double").alias("label"), F.col(text).alias("text")).mapInArrow(_spread_chunks, "id string, label double, chunks array<binary>")
+    sample = sample.groupBy("id").agg(F.min("label").alias("label"), F.min("chunks").alias("chunks")).collect()
+    sample = sorted(sample, key=lambda r: (zlib.crc32(r["id"].encode()), r["id"]))
     chunks = [np.frombuffer(bytes(c), np.uint8) for r in sample for c in r["chunks"]]
     row = np.repeat(np.arange(len(sample)), [len(r["chunks"]) for r in sample])
     return fit(chunks, row, np.array([r["label"] for r in sample]))
