@@ -13,9 +13,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else (tests, one machine) a temporary folder, which is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one machine (a local master, as in tests) gets a temporary folder, which is then set; on a cluster that is an error, as a folder of one machine is not shared."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ctxloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -65,6 +68,16 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def alternatives(words) -> str:
+    """A pattern of any of the words, branching letter by letter, so that a word is tried by one path and not by all words in turn."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    body = "|".join((c if c.isalnum() else f"\\{c}") + alternatives(t) for c, t in tails.items())
+    return f"(?:{body})" + "?" * ("" in words) if body else ""
+
+
 def word_count(text: Column) -> Column:
     """Runs of non-white-space characters; 0 for null.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, own_name
+from .common import alternatives, materialise, own_name
 
 #: Common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = (
@@ -21,8 +21,10 @@ ANCHORS = (
     "al con como del el ella en es esta este las lo los más no para por se su una y"
 ).split()
 CHAIN = 2
-#: Rows of a range of ids that stand in one task.
-ROWS_PER_RANGE = 2_000
+#: Rows of a range of ids that stand in one task, and most ranges; beyond these, ranges grow and their sort spills.
+ROWS_PER_RANGE, MOST_RANGES = 2_000, 65_536
+#: Bounds of ranges that a row is compared with at once.
+FAN = 256
 
 
 def _let(value: Column, then) -> Column:
@@ -30,16 +32,6 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def alternatives(words) -> str:
-    """A pattern of any of the words, branching letter by letter, so that a word is tried by one path and not by all words in turn."""
-    tails: dict[str, list[str]] = {}
-    for w in sorted(set(words)):
-        if w:
-            tails.setdefault(w[0], []).append(w[1:])
-    body = "|".join(c + alternatives(t) for c, t in tails.items())
-    return f"(?:{body})" + "?" * ("" in words) if body else ""
-
-
 def chains(text: Column, anchors=tuple(ANCHORS)) -> Column:
     """The chains of a text as strings, in order, repeats included."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
@@ -78,28 +70,41 @@ def fingerprint_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.hex(x))), " ")
 
 
+def _placed(df: DataFrame, id_col: str, part: str) -> DataFrame:
+    """df with the number of its range of ids; null ids are in one more. Bounds come from Spark's own range partitioning of the ids alone."""
+    ranges = max(1, min(MOST_RANGES, df.count() // ROWS_PER_RANGE))
+    if ranges == 1:
+        return df.withColumn(part, F.lit(0))
+    ids = df.select(F.col(id_col).alias("i")).where("i is not null").repartitionByRange(ranges, "i")
+    highs = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("i").alias("h"))
+    every = F.array_sort(F.collect_list("h"))  # at most MOST_RANGES
+    coarse = F.transform(F.sequence(F.lit(1), F.greatest(F.size("b"), F.lit(1)), F.lit(FAN)), lambda i: F.get("b", i - 1))
+    bounds = highs.agg(every.alias("b")).select("b", coarse.alias("c"))
+    b, c, block = own_name(df, "bounds"), own_name(df, "coarse"), own_name(df, "block")
+    placed = df.join(F.broadcast(bounds.select(F.col("b").alias(b), F.col("c").alias(c))))  # one row
+    below = lambda bound: bound < F.col(id_col)
+    placed = placed.withColumn(block, F.greatest(F.lit(0), F.size(F.filter(c, below)) - 1))
+    place = F.col(block) * FAN + F.size(F.filter(F.slice(b, F.col(block) * FAN + 1, F.lit(FAN)), below))
+    return placed.withColumn(part, F.when(F.col(id_col).isNull(), F.size(b)).otherwise(place)).drop(b, c, block)
+
+
 def with_next(df: DataFrame, *, id_col: str, cols: list[str], text: str, derived: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
     """df with next_<col> of the row with the next id; after the last row comes the first. derived: columns made from cols, to be added to both, once a row.
 
     Rows of equal ids are ordered by text; null ids come last. Rows are dealt
-    into ranges of ids by quantiles, so that no task has all rows; each range
-    hands its first row to the range before.
+    into ranges of ids, so that no task has all rows; each range hands its
+    first row to the range before. An empty table gives an empty result, and a
+    table of one row is its own next.
     """
-    n = df.count()
-    ranges = max(1, min(4096, n // ROWS_PER_RANGE))
-    at = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(df.agg(F.percentile_approx(id_col, at, 20 * ranges)).first()[0] or [])) if at else []
     part = own_name(df, "range")
-    low = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    place = F.size(F.filter(low, lambda b: b < F.col(id_col))) if bounds else F.lit(0)
-    rows = df.withColumn(part, F.when(F.col(id_col).isNull(), F.lit(len(bounds))).otherwise(place))
+    rows = _placed(df, id_col, part)
     order = [F.col(id_col).asc_nulls_last(), F.col(text).asc_nulls_first()]
     line = Window.partitionBy(part).orderBy(*order)
     nexts = F.struct(*cols, *derived)
     led = rows.withColumns(derived) if derived else rows
     led = led.withColumn("__next", F.lead(nexts).over(line))
     first = rows.groupBy(part).agg(F.min(F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.col(text).isNotNull().alias("p"), F.col(text).alias("t"), F.struct(*cols).alias("v"))).alias("f"))
-    # As many rows as ranges: at most 4096.
+    # As many rows as ranges.
     ring = Window.partitionBy(F.lit(0)).orderBy(part)
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     hand = first.select(part, F.coalesce(F.lead(F.col("f.v")).over(ring), F.first("f.v").over(whole)).alias("__v")).select(part, *[F.col(f"__v.{c}").alias(c) for c in cols])
@@ -114,23 +119,17 @@ def edited_text(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def similar(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = 50) -> DataFrame:
-    """One row for each row of df: id, class_id, and links between class representatives as an array.
+def similar_pairs(reps: DataFrame, percent: int) -> DataFrame:
+    """Of representatives (rep, fp) the pairs (a, b) whose likeness is at least percent / 100, each once.
 
-    Rows of one fingerprint form a class, represented by its smallest id.
-    Representatives link when their likeness is at least percent / 100.
     Fingerprints are partitioned by set length, so that a set meets only its
     own partition and the next longer one; within, they are matched on a
     prefix of their rarest signatures (a pair over the threshold shares one),
     and pairs whose lengths rule the threshold out are dropped before the
-    sets are compared. Rows with empty fingerprints have class null and no
-    links; null ids take no part.
+    sets are compared. All pairs that link come out, so in a family of distinct
+    near copies they grow with its square. Empty fingerprints link with nothing.
     """
     t = percent / 100
-    rows = df.select(F.col(id_col).alias("id"), fingerprint(F.col(text)).alias("fp")).where("id is not null")
-    rows = materialise(rows, "spots")
-    reps = rows.where(F.size("fp") > 0).groupBy("fp").agg(F.min("id").alias("rep"))
-    reps = materialise(reps, "classes")
     seen = reps.select("rep", F.explode("fp").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
     ranked = reps.select("rep", F.size("fp").alias("n"), F.explode("fp").alias("sig")).join(seen, "sig")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "sig"))
@@ -144,7 +143,22 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", percen
     sets = reps.select("rep", "fp")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("fp").alias("fb")), "b")
     common = F.size(F.array_intersect("fa", "fb"))
-    links = both.where(100 * common >= percent * (F.size("fa") + F.size("fb") - common)).select("a", "b")
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("links"))
-    classes = reps.join(links, reps["rep"] == links["a"], "left").select("fp", F.col("rep").alias("class_id"), "links")
-    return rows.join(classes, "fp", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("links", F.array().cast("array<bigint>")).alias("links"))
+    return both.where(100 * common >= percent * (F.size("fa") + F.size("fb") - common)).select("a", "b")
+
+
+def similar(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """One row for each row of df: id, class_id, n_links.
+
+    Rows of one fingerprint form a class, represented by its smallest id;
+    n_links is the number of representatives that it links with, of which
+    similar_pairs() gives the pairs. Rows with empty fingerprints (null and
+    empty texts) have class null and no links; null ids take no part; rows
+    that repeat have a row each; other columns are not read.
+    """
+    rows = df.select(F.col(id_col).alias("id"), fingerprint(F.col(text)).alias("fp")).where("id is not null")
+    rows = materialise(rows, "spots")
+    reps = materialise(rows.where(F.size("fp") > 0).groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    links = similar_pairs(reps, percent)
+    counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    classes = reps.select("fp", F.col("rep").alias("class_id")).join(counts, "class_id", "left")
+    return rows.join(classes, "fp", "left").select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -293,6 +293,7 @@ def test_fingerprints(docs, rows, none):
 
 def test_next_over_many_ranges(docs, rows, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 9)
+    monkeypatch.setattr(fingerprints, "FAN", 4)
     nexts = fingerprints.with_next(docs, id_col="doc_id", cols=["text"], text="text").collect()
     ordered = sorted(rows)
     assert {r.doc_id: r.next_text for r in nexts} == {a[0]: b[1] for a, b in zip(ordered, ordered[1:] + ordered[:1])}
@@ -312,7 +313,7 @@ def test_similar_fingerprints(docs, rows):
     for i, fp in fps.items():
         assert got[i].class_id == (rep[fp] if fp else None)
         want = sorted(j for other, j in rep.items() if fp and other and other != fp and 2 * len(fp & other) >= len(fp | other))
-        assert list(got[i].links) == want
+        assert got[i].n_links == len(want)
 
 
 def test_warc(spark):
