@@ -79,8 +79,10 @@ class Hashes:
         return np.array(found)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+def _matrix(column) -> np.ndarray:
+    """Vectors as rows, each scaled by a power of two so that its largest component is near 1: exact, and neither norms nor products overflow or vanish."""
+    m = np.array(list(column), np.float64)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(1))[1][:, None])
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -180,7 +182,7 @@ def nearest(df: DataFrame, is_query, *, id_col: str = "vec_id", vector: str = "e
     # A bounded sample, by a hash of the class.
     sample = [r["v"] for r in classes.orderBy(F.xxhash64("cls")).select("v").limit(SAMPLE_ROWS).collect()]
     hashes = Hashes(dim, hashes_for(n))
-    probes = measured_probes(np.array(sample), hashes, k, target)
+    probes = measured_probes(_matrix(sample), hashes, k, target)
     groups = max(1, round(n / GROUP))
 
     def bucket(batches):
