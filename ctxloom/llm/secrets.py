@@ -3,13 +3,15 @@
 From each rule's regular expression follows a Boolean query over trigrams of
 lower-cased text: an AND of groups, a group an OR of literals, a literal the
 AND of its trigrams. The index holds postings (trigram, text key) of the
-trigrams that some rule asks for, one for each different text. Postings are
+trigrams that some rule asks for, one for each different text; they are found
+in one pass over the distinct words of a text. Postings are
 intersected by OR-ing their bits by text key; texts whose bits satisfy a
 rule's query are its candidates and are verified with the expression itself.
 A rule without mandatory trigrams scans every text.
 
 The text key is a 64-bit hash of the text: two texts with one key can only add
-a candidate, never lose one, and copies have one posting.
+a candidate, never lose one, and copies have one posting. Where texts meet
+their flags, the copies of a text are dealt into PARTS parts.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, own_name
+from .common import alternatives, materialise, own_name
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,8 @@ RULES = (
 )
 #: A class of more characters, or a product of more strings, is no literal.
 MOST_LITERALS = 16
+#: Parts into which the copies of one text are dealt.
+PARTS = 8
 MASK = "[SECRET]"
 
 
@@ -117,11 +121,11 @@ def _walk(nodes) -> tuple[list[str] | None, list[list[str]]]:
 
 
 def trigram_query(rule: Rule) -> list[list[frozenset[str]]]:
-    """AND over groups, OR in a group, AND over the trigrams of a member; empty if the rule has no mandatory trigram."""
+    """AND over groups, OR in a group, AND over the trigrams of a member; empty if the rule has no mandatory trigram. Trigrams with white space are left out, as postings are made from words."""
     exact, groups = _walk(parser.parse(rule.pattern))
     query = []
     for literals in [exact] if exact is not None else groups:
-        parts = [frozenset(s.lower()[i : i + 3] for i in range(len(s) - 2)) for s in literals]
+        parts = [frozenset(g for g in (s.lower()[i : i + 3] for i in range(len(s) - 2)) if not re.search(r"\s", g)) for s in literals]
         if parts and all(parts) and all(g.isascii() for p in parts for g in p):
             query.append(parts)
     return query
@@ -146,15 +150,27 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def postings(texts: DataFrame, rules=RULES) -> tuple[DataFrame, list[str]]:
-    """The index of texts (key, text): rows (gram, key), gram a place in the list that is returned too."""
+    """The index of texts (key, text): rows (gram, key), gram a place in the list that is returned too.
+
+    A text has one row for each different trigram that some rule asks for,
+    wherever in it that stands; a null or empty text has none. Repeated texts
+    repeat their rows. An empty table, or rules without trigrams, give no rows.
+    """
     grams = sorted({g for r in rules for group in trigram_query(r) for part in group for g in part})
-    low = F.lower("text")
-    has = F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]) if grams else F.array().cast("array<int>")
-    return texts.select("key", F.explode(F.array_compact(has)).alias("gram")), grams
+    if not grams:
+        return texts.select("key", F.lit(0).alias("gram")).limit(0), grams
+    words = F.array_join(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")), " ")
+    found = F.array_distinct(F.regexp_extract_all(words, F.lit(f"(?=({alternatives(grams)}))"), F.lit(1)))
+    places = F.transform(found, lambda g: (F.array_position(F.array(*map(F.lit, grams)), g) - 1).cast("int"))
+    return texts.select("key", F.explode(places).alias("gram")), grams
 
 
 def candidates(index: DataFrame, grams: list[str], rules=RULES) -> DataFrame:
-    """key and, for every rule that has a query, whether the key's postings satisfy it; keys that satisfy none are left out."""
+    """key and, for every rule that has a query, whether the key's postings satisfy it; keys that satisfy none are left out.
+
+    Repeated postings count once. An empty index, or rules without queries,
+    give no rows.
+    """
     at = {g: i for i, g in enumerate(grams)}
     words = -(-len(grams) // 60) or 1
     bits = [F.bit_or(F.expr(f"CASE WHEN gram DIV 60 = {w} THEN shiftleft(1L, CAST(gram % 60 AS INT)) ELSE 0L END")).alias(f"m{w}") for w in range(words)]
@@ -188,17 +204,18 @@ def scan(df: DataFrame, *, text: str = "text", rules=RULES, to: str = "spans") -
     result. A column of df named like `to` is replaced.
     """
     df = df.drop(to)
-    key, body = own_name(df, "key"), own_name(df, "body")
-    rows = df.withColumn(body, F.coalesce(F.col(text), F.lit(""))).withColumn(key, F.xxhash64(body))
-    index, grams = postings(rows.select(F.col(key).alias("key"), F.col(body).alias("text")), rules)
+    key, part, flags = own_name(df, "key"), own_name(df, "part"), own_name(df, "flags")
+    body = F.coalesce(F.col(text), F.lit(""))
+    index, grams = postings(df.select(F.xxhash64(body).alias("key"), body.alias("text")), rules)
     index = materialise(index.distinct(), "postings")
-    flags = own_name(df, "flags")
     chosen = candidates(index, grams, rules)
     chosen = chosen.select(F.col("key").alias(key), F.struct(*[c for c in chosen.columns if c != "key"], F.lit(True).alias("any")).alias(flags))
-    joined = rows.join(chosen, key, "left")
+    chosen = chosen.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    rows = df.withColumn(key, F.xxhash64(body)).withColumn(part, F.monotonically_increasing_id() % PARTS)
+    joined = rows.join(chosen, [key, part], "left")
     parts = []
     for order, rule in enumerate(rules):
-        some = _spans(F.col(body), rule, order)
+        some = _spans(body, rule, order)
         if trigram_query(rule):
             some = F.when(F.coalesce(F.col(flags)[f"is_{rule.kind}"], F.lit(False)), some).otherwise(F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>"))
         parts.append(some)
@@ -211,7 +228,13 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, *, text: str = "text", spans: str = "spans", mask: str = MASK) -> DataFrame:
-    """df with every run of overlapping spans in text replaced by mask; rows without spans keep their text, also a null."""
+    """df with every run of overlapping spans in text replaced by mask.
+
+    Rows without spans, or with null for them, keep their text, also a null or
+    empty one; spans that touch leave a mask each. Repeated rows are treated
+    alike, other columns stay, texts of any length are treated whole, and an
+    empty table gives an empty result.
+    """
     body = F.col(text)
 
     def add(acc: Column, s: Column) -> Column:
