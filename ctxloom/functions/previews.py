@@ -63,13 +63,20 @@ def _fit(lines: Column, chars) -> Column:
     return F.aggregate(lines, start, add, lambda acc: acc["n"])
 
 
+def head_and_tail(text: Column, head_chars: int, tail_chars: int) -> Column:
+    """The first and the last lines that fit, and between them how many are left out."""
+    lines = F.split(text, "\n", -1)
+    head = head_lines(text, head_chars)
+    tail = tail_lines(text, tail_chars, head)
+    ended = lambda some: F.array_join(F.transform(some, lambda x: F.concat(x, F.lit("\n"))), "")
+    first = ended(F.slice(lines, F.lit(1), head))
+    last = F.when(tail > 0, ended(F.slice(lines, F.size(lines) - tail + 1, tail))).otherwise("")
+    return F.concat(first, F.lit("\n... ["), (F.size(lines) - head - tail).cast("string"), F.lit(" lines omitted] ...\n\n"), last)
+
+
 def exec_preview(text: Column, preview_tokens: int = 400) -> Column:
     """The first and last lines, 60 and 40 % of the characters, and how many are left out."""
     most = 4 * preview_tokens
-    lines = F.split(text, "\n", -1)
     head = head_lines(text, int(most * 0.6))
-    tail = tail_lines(text, int(most * 0.4), head)
-    left = F.size(lines) - head - tail
-    first = F.array_join(F.transform(F.slice(lines, F.lit(1), head), lambda x: F.concat(x, F.lit("\n"))), "")
-    last = F.when(tail > 0, F.array_join(F.transform(F.slice(lines, F.size(lines) - tail + 1, tail), lambda x: F.concat(x, F.lit("\n"))), "")).otherwise("")
-    return F.when(left > 0, F.concat(first, F.lit("\n... ["), left.cast("string"), F.lit(" lines omitted] ...\n\n"), last)).otherwise(F.substring(text, 1, most))
+    left = F.size(F.split(text, "\n", -1)) - head - tail_lines(text, int(most * 0.4), head)
+    return F.when(left > 0, head_and_tail(text, int(most * 0.6), int(most * 0.4))).otherwise(F.substring(text, 1, most))

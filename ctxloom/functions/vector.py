@@ -108,6 +108,11 @@ def hash_embedding(text: Column, dim: int = DIM) -> Column:
     return embed(text)
 
 
+def pair_similarity(a: Column, b: Column) -> Column:
+    """Cosine of two texts' hash embeddings; 0 where one has no words."""
+    return cosine(hash_embedding(a), hash_embedding(b))
+
+
 #: A batch of texts to their vectors, in order; models plug in here.
 Embedder = Callable[[list[str]], list]
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions.vector import cosine
 
+from .lexical import memory_bm25
+from .memory import fact_score
+
 
 def extractable(role: Column, text: Column, has_tools: Column | None = None) -> Column:
     good = role.isin("user", "assistant") & (F.length(F.trim(text)) >= 10)
@@ -29,13 +32,17 @@ def prompt_texts(messages: DataFrame, *, last: int = 8, cap: int = 500) -> DataF
     return got.select("conv_id", F.array_join(F.transform("m", line), "\n").alias("prompt"))
 
 
-def conflicts(new: DataFrame, old: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """For each new fact (user_id, id, category, value, embedding) the first old one, by id, of its user and category that it may contradict: similar vectors, or, where one has none, one text within the other."""
-    o = old.select("user_id", "category", F.col("id").alias("old_id"), F.col("value").alias("old_value"), F.col("confidence").alias("old_confidence"), F.col("embedding").alias("__e"))
+def _contradicts(threshold: float) -> Column:
     low = F.lower("value"), F.lower("old_value")
     within = F.contains(low[0], low[1]) | F.contains(low[1], low[0])
     vectors = F.col("embedding").isNotNull() & F.col("__e").isNotNull()
-    pairs = new.join(o, ["user_id", "category"]).where(F.when(vectors, cosine(F.col("embedding"), F.col("__e")) >= threshold).otherwise(within))
+    return F.when(vectors, cosine(F.col("embedding"), F.col("__e")) >= threshold).otherwise(within)
+
+
+def conflicts(new: DataFrame, old: DataFrame, *, threshold: float = 0.8) -> DataFrame:
+    """For each new fact (user_id, id, category, value, embedding) the first old one, by id, of its user and category that it may contradict: similar vectors, or, where one has none, one text within the other."""
+    o = old.select("user_id", "category", F.col("id").alias("old_id"), F.col("value").alias("old_value"), F.col("confidence").alias("old_confidence"), F.col("embedding").alias("__e"))
+    pairs = new.join(o, ["user_id", "category"]).where(_contradicts(threshold))
     first = F.row_number().over(Window.partitionBy("user_id", "id").orderBy("old_id"))
     return pairs.withColumn("__r", first).where("__r = 1").drop("__r", "__e")
 
@@ -54,8 +61,24 @@ def resolution(strategy: Column, old_value: Column, old_confidence: Column, valu
     )
 
 
-def resolve(new: DataFrame, old: DataFrame, *, strategy: str = "keep_highest_confidence", threshold: float = 0.8) -> DataFrame:
-    """Every new fact with what becomes of it: add, update, keep or defer, and the old fact concerned."""
+def batch_conflicts(new: DataFrame, old: DataFrame, *, k: int = 20, least: float = 0.6, threshold: float = 0.8) -> DataFrame:
+    """As conflicts(), but only among the k old facts of the user that retrieval finds for the new one, at or above least."""
+    o = old.select("user_id", F.col("id").alias("old_id"), F.col("value").alias("__v"), F.col("embedding").alias("__e"))
+    both = new.select("user_id", "id", "value", "embedding").join(o, "user_id")
+    has = F.col("embedding").isNotNull() & F.col("__e").isNotNull()
+    bm25 = memory_bm25(F.col("value"), F.col("__v"))
+    _, score = fact_score(cosine(F.col("embedding"), F.col("__e")), bm25, has)
+    ranked = both.withColumn("__s", F.round(score, 6)).where(F.col("__s") >= least)
+    place = F.row_number().over(Window.partitionBy("user_id", "id").orderBy(F.desc("__s"), "old_id"))
+    near = ranked.withColumn("__r", place).where(F.col("__r") <= k).select("user_id", "id", "old_id")
+    o = old.select("user_id", "category", F.col("id").alias("old_id"), F.col("value").alias("old_value"), F.col("confidence").alias("old_confidence"), F.col("embedding").alias("__e"))
+    pairs = near.join(new, ["user_id", "id"]).join(o, ["user_id", "category", "old_id"])
+    first = F.row_number().over(Window.partitionBy("user_id", "id").orderBy("old_id"))
+    return pairs.where(_contradicts(threshold)).withColumn("__r", first).where("__r = 1").drop("__r", "__e")
+
+
+def resolve(new: DataFrame, old: DataFrame, *, strategy: str | Column = "keep_highest_confidence", threshold: float = 0.8) -> DataFrame:
+    """Every new fact with what becomes of it: add, update, keep or defer, and the old fact concerned. strategy may be a column of new."""
     found = conflicts(new, old, threshold=threshold).select("user_id", "id", "old_id", "old_value", "old_confidence")
     rows = new.join(found, ["user_id", "id"], "left")
     act = resolution(F.lit(strategy), F.col("old_value"), F.col("old_confidence"), F.col("value"), F.col("confidence"))

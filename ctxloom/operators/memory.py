@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.errors import require
+from ctxloom.functions import render
 from ctxloom.functions.vector import cosine
 
 from .lexical import memory_bm25
@@ -143,6 +144,32 @@ def stats(facts: DataFrame, embeddings: DataFrame, *, user_id: str) -> DataFrame
     return j.groupBy("scope").agg(F.count("*").alias("facts"), F.count("has").alias("with_embedding")).withColumn("coverage", F.round(F.coalesce(F.try_divide(F.col("with_embedding") * F.lit(100.0), F.col("facts")), F.lit(0.0)), 0))
 
 
+def user_counts(patterns: DataFrame, summaries: DataFrame, *, user_id: str) -> DataFrame:
+    """One row: how many patterns and summaries a user has."""
+    require(user_id=user_id)
+    rows = patterns.select("user_id", F.lit(1).alias("p"), F.lit(0).alias("s")).unionByName(summaries.select("user_id", F.lit(0).alias("p"), F.lit(1).alias("s")))
+    return rows.where(F.col("user_id") == user_id).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("patterns"), F.coalesce(F.sum("s"), F.lit(0)).alias("summaries"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, n: the rows of each table, none left out for being empty."""
+    one = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in sorted(tables.items())]
+    out = one[0]
+    for more in one[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def format_results(results: DataFrame) -> DataFrame:
+    """One row, context: found facts, then found summaries (source, text, score, category, topic, entities), each best first."""
+    line = F.when(F.col("source") == "fact", render.fact_line(F.col("category"), F.col("text"), F.col("score"))).otherwise(render.summary_lines(F.col("topic"), F.col("text"), F.col("entities"), F.col("score")))
+    got = results.select("source", F.struct((-F.col("score")).alias("s"), "id", line.alias("l")).alias("x"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("source") == kind, F.col("x"))))
+    g = got.agg(of("fact").alias("f"), of("summary").alias("s"))
+    part = lambda c, head: F.when(F.size(c) > 0, F.concat(F.lit(head), F.array_join(F.transform(c, lambda x: x["l"]), ""), F.lit("\n"))).otherwise("")
+    return g.select(F.concat(part("f", "🧠 REMEMBERED FACTS:\n"), part("s", "📝 CONVERSATION SUMMARIES:\n")).alias("context"))
+
+
 def format_context(facts: DataFrame) -> DataFrame:
     """category, block: a header and a bullet for each fact, best first."""
     bullet = F.concat(F.lit("• "), F.col("value"), F.when(F.col("scope") == "session", " (this session)").otherwise(" "))

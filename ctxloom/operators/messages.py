@@ -95,9 +95,13 @@ def invalid_blocks(messages: DataFrame, *, content: str = "content") -> DataFram
     return counts.withColumn("total", sum((F.col(n) for n in reasons), F.lit(0).cast("long")))
 
 
-def tool_results(messages: DataFrame, *, role: str = "role", content: str = "content", keys: list[str]) -> DataFrame:
-    """One row for each tool result: keys, tool_call_id, text."""
-    return messages.select(*keys, F.explode(F.filter(content, lambda b: b["type"].isin(*RESULTS))).alias("b")).select(*keys, F.coalesce("b.tool_use_id", "b.id").alias("tool_call_id"), F.coalesce("b.content", F.lit("")).alias("text"))
+def tool_results(messages: DataFrame, *, role: str = "role", content: str = "content", keys: list[str], call_id: str | None = None) -> DataFrame:
+    """One row for each tool result: keys, tool_call_id, text. Results are blocks; a message of role toolResult without such blocks is one as a whole, with call_id (a column, if there is one)."""
+    blocks = F.filter(F.coalesce(content, F.array().cast(f"array<{BLOCK}>")), lambda b: b["type"].isin(*RESULTS))
+    found = F.transform(blocks, lambda b: F.struct(F.coalesce(b["tool_use_id"], b["id"]).alias("tool_call_id"), F.coalesce(b["content"], F.lit("")).alias("text")))
+    own = F.struct((F.col(call_id) if call_id else F.lit(None)).cast("string").alias("tool_call_id"), message_text(F.col(content)).alias("text"))
+    whole = (F.col(role) == "toolResult") & (F.size(blocks) == 0)
+    return messages.select(*keys, F.inline(F.when(whole, F.array(own)).otherwise(found)))
 
 
 def recent(turn: str, n: int, by: str = "conv_id") -> Column:

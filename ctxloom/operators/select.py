@@ -57,6 +57,18 @@ def distribution(scored: DataFrame, *, least: float) -> DataFrame:
     return scored.groupBy(bucket(F.col("keep"), F.col("score"), F.col("empty"), least).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def score_stats(scored: DataFrame, *, by: list[str] = (), score: str = "score") -> DataFrame:
+    """mean, least and most of scores, rounded, and how many there are."""
+    s = F.col(score)
+    return scored.groupBy(*by).agg(F.round(F.avg(s), 6).alias("mean"), F.round(F.min(s), 6).alias("least"), F.round(F.max(s), 6).alias("most"), F.count(s).alias("n"))
+
+
+def hit_rate(events: DataFrame, hit: Column, *, by: list[str] = ()) -> DataFrame:
+    """n, hits, and hits in per cent of all; 0 without events."""
+    g = events.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    return g.withColumn("hit_rate", F.round(F.coalesce(F.try_divide(F.col("hits") * F.lit(100.0), F.col("n")), F.lit(0.0)), 4))
+
+
 def savings(chosen: DataFrame) -> DataFrame:
     """Tokens in, out and saved, and the reduction in per cent, of messages with the flag selected."""
     t = estimate_tokens(F.col("text"))

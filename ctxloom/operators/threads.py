@@ -92,6 +92,12 @@ def single_thread(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", F.lit(0).cast("long").alias("thread_id"))
 
 
+def thread_sizes(threads: DataFrame) -> DataFrame:
+    """conv_id, threads, avg_size: how many threads a conversation has, and messages in one; messages in none don't count."""
+    of = threads.where("thread_id is not null").groupBy("conv_id", "thread_id").agg(F.count("*").alias("n"))
+    return of.groupBy("conv_id").agg(F.count("*").alias("threads"), F.round(F.avg("n"), 4).alias("avg_size"))
+
+
 def score_threads(threads: DataFrame, query_vector: list[float]) -> DataFrame:
     of = threads.where("thread_id is not null").groupBy("conv_id", "thread_id").agg(F.any_value("topic").alias("topic"), F.count("*").alias("n"))
     return of.withColumn("score", F.round(cosine(F.col("topic"), F.array(*[F.lit(float(x)) for x in query_vector])), 6))

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ctxloom.functions import extraction, previews, text, vector
+from ctxloom.functions import extraction, previews, render, text, vector
 from ctxloom.operators import extraction as extract
 from ctxloom.operators import fusion, lexical, memory, messages, results, select, threads
 from ctxloom.sources import tables
@@ -104,12 +104,13 @@ def tokenize_stats(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_unique"), text.estimate_tokens(F.col("text")).alias("estimate"))
 
 
-@query(f"SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY ALL")
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL")
 def term_freq(spark, sf_dir):
     return lexical.term_frequencies(table(spark, sf_dir, "documents"), id_col="doc_id", text="text")
 
 
-@query(f"SELECT item_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT item_id, len({_tok('text')})::BIGINT AS length, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY item_id, term")
+@query(f"""WITH d AS (SELECT doc_id, {_tok('text')} AS t FROM documents), p AS (SELECT doc_id, len(t)::BIGINT AS length, unnest(t) AS term FROM d)
+SELECT doc_id, term, count(*) AS tf, length FROM p GROUP BY doc_id, term, length""")
 def inverted_index(spark, sf_dir):
     return lexical.inverted_index(table(spark, sf_dir, "documents"), id_col="doc_id", text="text")
 
@@ -154,7 +155,7 @@ def fts_query_builder(spark, sf_dir):
 _BM25 = f"""WITH d AS (SELECT doc_id, {_tok('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d), tf AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_tok("substr(text, 1, 60)")}) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_tok("text")}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, least(1.0::DOUBLE, sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avgdl))) / 10) AS bm25
   FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)"""
 
@@ -204,12 +205,12 @@ def _vectors(spark, sf_dir):
 _COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5)"
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10")
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def cosine_pairs(spark, sf_dir):
     return vector.compare(*_vectors(spark, sf_dir)).withColumnRenamed("id", "vec_id")
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id QUALIFY rank <= 10")
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10")
 def cosine_topk_queries(spark, sf_dir):
     s = vector.compare(*_vectors(spark, sf_dir), k=10).withColumnRenamed("id", "vec_id")
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 10").withColumn("rank", F.col("rank").cast("long"))
@@ -256,10 +257,27 @@ def pair_scores(spark, sf_dir):
 
 
 _ASKED = [(1, PROMPT), (2, "fix the build"), (3, "what is it"), (4, "Deploy API config for auth timeout"), (5, "hello world again")]
-_VARIANTS = [(i, n, v) for i, q in _ASKED for n, v in enumerate(fusion.Expander().expand(q), 1)]
 
 
-@query("SELECT id::BIGINT AS id, n::BIGINT AS n, variant FROM " + fixtures.values(_VARIANTS, "id, n, variant"))
+def _expand_sql() -> str:
+    """The rules in SQL, from the same fixed words."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    one = lambda w, o: f"substr(low, 1, strpos(low, {quoted(w)}) - 1) || {quoted(o)} || substr(low, strpos(low, {quoted(w)}) + {len(w)})"
+    parts = ["[q]"]
+    parts += [f"CASE WHEN contains(low, {quoted(w)}) THEN [{one(w, o[0])}, {one(w, o[1])}] ELSE [] END" for w, o in fusion.SYNONYMS.items()]
+    parts += [f"CASE WHEN contains(low, {quoted(w)}) THEN [low || {quoted(' ' + o[0])}] ELSE [] END" for w, o in fusion.RELATED.items()]
+    drop = "\\b(" + "|".join(fusion.QUESTION_WORDS + fusion.FILLERS) + ")\\b"
+    simple = f"trim(regexp_replace(regexp_replace(low, '{drop}', '', 'g'), '\\s+', ' ', 'g'))"
+    known = ", ".join(map(quoted, [*fusion.SYNONYMS, *fusion.RELATED]))
+    key = f"array_to_string(list_filter(string_split_regex(low, '\\s+'), lambda w: length(w) > 3 OR w IN ({known})), ' ')"
+    parts += [f"[coalesce(nullif({simple}, ''), q)]", f"[coalesce(nullif({key}, ''), q)]"]
+    every = "flatten([" + ", ".join(parts) + "])"
+    asked = fixtures.values(_ASKED, "id, q")
+    return f"""WITH a AS (SELECT id::BIGINT AS id, q, lower(q) AS low FROM {asked}), l AS (SELECT id, {every} AS l FROM a), v AS (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:4] AS v FROM l)
+SELECT id, unnest(range(1, len(v) + 1))::BIGINT AS n, unnest(v) AS variant FROM v"""
+
+
+@query(_expand_sql())
 def query_expand_rules(spark, sf_dir):
     q = spark.createDataFrame(_ASKED, "id long, q string")
     return q.select("id", F.posexplode(fusion.Expander().column(F.col("q"))).alias("p", "variant")).select("id", (F.col("p") + 1).cast("long").alias("n"), "variant")
@@ -286,7 +304,7 @@ def fact_retrieve_scoped(spark, sf_dir):
     return memory.retrieve_facts(fixtures.facts(spark), None, user_id="u1", query="search engine", agent_id="a1", session_id="s1").select("id", "score")
 
 
-_BIG_FACTS = f"""SELECT doc_id AS id, {_MB.format(q='the and')} AS b FROM (SELECT doc_id, string_split_regex(lower(substr(text, 1, 200)), '\\s+') AS ws FROM documents WHERE source = 'src0' ORDER BY n_chars DESC, doc_id LIMIT 1000)"""
+_BIG_FACTS = f"""SELECT doc_id AS id, {_MB.format(q='the and')} AS b FROM (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS ws FROM documents WHERE source = 'src0' ORDER BY n_chars DESC, doc_id LIMIT 1000)"""
 
 
 @query(f"SELECT id, round(0.8::DOUBLE * b, 6) AS score FROM ({_BIG_FACTS}) WHERE b > 0.5 OR 0.8::DOUBLE * b >= 0.75 ORDER BY score DESC, id LIMIT 10")
@@ -451,13 +469,6 @@ def chunk_fixed(spark, sf_dir):
     return c.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("start_offset").cast("long").alias("start_offset"), F.col("end_offset").cast("long").alias("end_offset"), F.sha2("chunk_text", 256).alias("hash"))
 
 
-@query()
-def chunk_boundary(spark, sf_dir):
-    """Without SQL: where a chunk starts depends on the one before. Tested against a plain version."""
-    c = results.bounded_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), keys=["doc_id"])
-    return c.select("doc_id", "chunk_idx", "start_offset", "end_offset")
-
-
 @query("""SELECT vec_id AS chunk_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS score FROM embeddings WHERE score >= 0.2 ORDER BY score DESC, chunk_id LIMIT 20""")
 def chunk_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -498,13 +509,6 @@ def full_retrieval(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.full_within(F.col("text"), 1000), 256).alias("hash"))
 
 
-@query()
-def preview_exec_head_tail(spark, sf_dir):
-    """Without SQL: a running budget. Tested against a plain version."""
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", previews.line_count(F.col("html")).alias("lines"), F.sha2(previews.exec_preview(F.col("html")), 256).alias("hash"), previews.has_errors(F.col("html")).alias("has_errors"))
-
-
 @query("""SELECT page_id, CASE WHEN starts_with(html, '{') OR starts_with(html, '[') THEN 'json' WHEN contains(html, '<!DOCTYPE') OR contains(html, '<html') THEN 'html' WHEN contains(html, 'import ') OR contains(html, 'export ') THEN 'javascript'
  WHEN contains(html, 'def ') THEN 'python' WHEN contains(html, 'package ') OR contains(html, 'func ') THEN 'go' ELSE 'text' END AS kind, len(string_split(html, chr(10)))::BIGINT AS lines FROM pages""")
 def file_type_heuristic(spark, sf_dir):
@@ -523,8 +527,18 @@ def size_gate(spark, sf_dir):
     return d.select("doc_id", "lang", previews.is_large(tool, F.col("text")).alias("large"))
 
 
-@query("""WITH t AS (SELECT ceil(length(text) / 4.0)::BIGINT AS k, text, 'tr_' || sha256(text)[:8] AS rid FROM documents),
-s AS (SELECT k, k > 2000 AS large, CASE WHEN k > 2000 THEN ceil(length('[STORED: ' || rid || '] ' || len(string_split(text, chr(10))) || ' lines' || chr(10) || substr(text, 1, 1600)) / 4.0)::BIGINT ELSE k END AS o FROM t)
+def _stored_sql(text: str, clock: str, tool: str = "other", about: str | None = None, preview: str | None = None) -> str:
+    """The stored form of a result, in SQL."""
+    nl, rid = "chr(10)", f"'tr_' || sha256({text})[:8]"
+    options = "".join(f"\n   • {t}" for t in render.TIPS.get(tool, render.DEFAULT_TIPS)).replace("'", "''")
+    label = render.LABELS[tool] if tool in render.TIPS else render.DEFAULT_LABEL
+    about = about or f"len(string_split({text}, {nl})) || ' lines'"
+    preview = preview or f"substr({text}, 1, 1600)"
+    return f"""('[STORED: ' || {rid} || ']' || {nl} || {nl} || '📄 {label}' || {nl} || '📊 Size: ~' || format('{{:,}}', ceil(length({text}) / 4.0)::BIGINT) || ' tokens' || {nl} || '📋 ' || {about} || {nl} || '🕐 ' || {clock}
+ || {nl} || {nl} || '--- PREVIEW ---' || {nl} || trim({preview}, ' ' || chr(10) || chr(9) || chr(13)) || {nl} || '--- END PREVIEW ---' || {nl} || {nl} || '💡 Retrieve full content with: retrieve_tool_result(result_id="' || {rid} || '")' || {nl} || '   Options:{options}')"""
+
+
+@query(f"""WITH t AS (SELECT ceil(length(text) / 4.0)::BIGINT AS k, {_stored_sql('text', "''")} AS shown FROM documents), s AS (SELECT k, k > 2000 AS large, CASE WHEN k > 2000 THEN ceil(length(shown) / 4.0)::BIGINT ELSE k END AS o FROM t)
 SELECT large, count(*) AS n, sum(k)::BIGINT AS tokens_in, sum(o)::BIGINT AS tokens_out FROM s GROUP BY large""")
 def result_processor(spark, sf_dir):
     p = results.process(table(spark, sf_dir, "documents").select(F.lit("other").alias("tool_name"), "text"))
@@ -534,7 +548,7 @@ def result_processor(spark, sf_dir):
 @query("SELECT 1::BIGINT AS id, 'link:3 button:2 heading:1' AS summary")
 def preview_elements(spark, sf_dir):
     d = spark.createDataFrame([(1, "- link a\n  - Button b\n- link\n- LINK c\n - heading x\n- button")], "id long, t string")
-    return d.select("id", results.element_counts(F.col("t")).alias("summary"))
+    return d.select("id", render.element_counts(F.col("t")).alias("summary"))
 
 
 _FACTS_OUT = [(1, "likes tea", "preference", 0.9, "said so"), (2, "uses vim", "system", 0.8, extraction.DEFAULT_CONTEXT), (3, "bare", "personal", 1.0, extraction.DEFAULT_CONTEXT), (4, "one", "error_pattern", 0.5, "c"), (4, "two", "project", 0.25, extraction.DEFAULT_CONTEXT), (7, "l" * 197 + "...", "decision", 0.0, extraction.DEFAULT_CONTEXT)]

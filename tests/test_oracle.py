@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ctxloom.plans import queries
+from ctxloom.plans import more, queries  # noqa: F401  (more registers its queries beside the others)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
