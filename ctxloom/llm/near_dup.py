@@ -34,12 +34,12 @@ from pyspark.sql import types as T
 from .common import materialise, remove, small_batches
 
 BINS = 256
-ROWS = 6
-BANDS = BINS // ROWS
+#: Chance that a pair at the threshold has no band in common, at most.
+MISS = 1e-5
 #: Bins of the finer signature by which members of different components are compared.
 FINE = 2048
 #: Members of a bucket that are compared in one step.
-BLOCK = 1024
+BLOCK = 512
 #: Ids of documents that are broadcast, to read their texts without a shuffle of all texts; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Attempts of densification that are made by table; what is left takes the next filled bin.
@@ -71,8 +71,22 @@ def _probes(bins: int) -> np.ndarray:
     return (_mix(np.arange(bins * ATTEMPTS, dtype=np.uint64) + np.uint64(977)) % np.uint64(bins)).astype(np.int64).reshape(bins, ATTEMPTS)
 
 
-_BAND = _mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(31)) | np.uint64(1)
-_WHICH = _mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(57))
+@lru_cache(maxsize=8)
+def band_rows(percent: int) -> int:
+    """Bins of a band: as many as leave a pair at the threshold without a common band with a chance of MISS at most."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is between 1 and 100")
+    p = percent / 100
+    return max([r for r in range(1, 9) if (1 - p**r) ** (BINS // r) <= MISS], default=1)
+
+
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of a signature."""
+    bands = BINS // rows
+    weight = _mix(np.arange(rows, dtype=np.uint64) + np.uint64(31)) | np.uint64(1)
+    which = _mix(np.arange(bands, dtype=np.uint64) + np.uint64(57))
+    with np.errstate(over="ignore"):
+        return _mix((_mix(values[: bands * rows].reshape(bands, rows)) * weight).sum(1) + which).view(np.int64)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +162,7 @@ def signature(shingles: np.ndarray, n_bins: int = BINS) -> np.ndarray:
     return out
 
 
-def _sketches(k: int):
+def _sketches(k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, max(batch.num_rows, 1), 512):
@@ -161,9 +175,7 @@ def _sketches(k: int):
                         continue
                     with np.errstate(over="ignore"):
                         fp.append(np.array([_mix(s).sum(), _mix(s ^ _M2).sum()], np.uint64).tobytes())
-                        v = signature(s)
-                        bands = _mix((_mix(v[: BANDS * ROWS].reshape(BANDS, ROWS)) * _BAND).sum(1) + _WHICH)
-                    keys.append(bands.view(np.int64))
+                    keys.append(band_keys(signature(s), rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "fp", "keys"])
 
     return run
@@ -191,14 +203,14 @@ def _fine(k: int):
     return run
 
 
-def sketches(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """id, n (size of the set), fp (128 bits of the set), keys (of bands)."""
+def sketches(df: DataFrame, id_col: str, text: str, k: int, rows: int) -> DataFrame:
+    """id, n (size of the set), fp (128 bits of the set), keys (of bands of `rows` bins). Without words n is 0 and fp and keys are null; repeated rows have a sketch each."""
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sketches(k), T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sketches(k, rows), T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, of reps) those whose whole sets reach the threshold, by integers."""
+    """Of the pairs (a, b, of reps) those whose whole sets reach the threshold, by integers. No aggregate stands on the joins, so that Spark can split a task in which one centre has very many pairs; an id with several sets can give a pair twice."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -211,7 +223,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star until the links no longer change.
     Each round joins the links with the smallest neighbour of every node; no
-    neighbour list is gathered, so a node of any degree is fine.
+    neighbour list is gathered, so a node of any degree is fine. Links that
+    repeat count once, links of a node to itself not at all; without links
+    there are no rows.
     """
     now = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     sign = None
@@ -231,8 +245,8 @@ def components(links: DataFrame) -> DataFrame:
         sign = mark
 
 
-def _across(reach: int):
-    """Pairs of one block pair of a bucket: other component, no bucket in common before this one, and signatures that agree in reach bins at least."""
+def _across(reach: int, percent: int):
+    """Pairs of one block pair of a bucket: other component, sizes that allow the threshold, no bucket in common before this one, and signatures that agree in reach bins at least."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, root, n, side = (pdf[c].to_numpy() for c in ("id", "root", "n", "side"))
@@ -243,7 +257,7 @@ def _across(reach: int):
         one, two = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == pdf["i"].iloc[0]), np.flatnonzero(side == pdf["j"].iloc[0]))
         a, b = [], []
         for x in one:
-            of = two[(root[two] != root[x]) & (2 * np.minimum(n[two], n[x]) >= np.maximum(n[two], n[x]))]
+            of = two[(root[two] != root[x]) & (100 * np.minimum(n[two], n[x]) >= percent * np.maximum(n[two], n[x]))]
             if same:
                 of = of[of > x]
             if band and len(of):
@@ -267,12 +281,17 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     all of them carry its smallest component; of rows that are equal in id
     and set all are kept. A null id takes no part: component_id null, kept
     true. An empty table gives an empty result; other columns are not read.
+
+    Links are confirmed on whole sets, but found by chance: a pair at the
+    threshold shares no bucket with a chance of MISS, and within an open bucket
+    its fine signatures fall short by five standard deviations less often
+    still. Pairs above the threshold are missed more rarely.
     """
     spark = df.sparkSession
     if not isinstance(df.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} must be an integer")
     docs = df.withColumn(id_col, F.col(id_col).cast("long"))
-    sketch = sketches(docs, id_col, text, k)
+    sketch = sketches(docs, id_col, text, k, band_rows(percent))
     # Equal sets collapse; of a set, the smallest id stands for all.
     sketch = materialise(sketch, "sketch")
     full = sketch.select("id", "n", "fp")
@@ -295,7 +314,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         sets = materialise(sets_of(pairs), "sets")
-        found = materialise(_confirm(pairs, sets, percent).distinct(), name)
+        found = materialise(_confirm(pairs, sets, percent), name)
         remove(sets)
         return found
 
@@ -315,13 +334,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     # Five standard deviations below the threshold.
     p = percent / 100
     reach = int(FINE * (p - 5 * (p * (1 - p) / FINE) ** 0.5))
-    more = dealt.groupBy("key", "i", "j").applyInPandas(_across(reach), "a long, b long").distinct()
+    more = dealt.groupBy("key", "i", "j").applyInPandas(_across(reach, percent), "a long, b long").distinct()
     more = materialise(more, "pairs")
     rest = confirmed(more, "links")
     remove(more), remove(members), remove(fine)
     roots = components(links.unionByName(rest))
     remove(found), remove(links), remove(rest), remove(crowded)
     of_set = reps.select("fp", "id").join(roots, "id", "left").select("fp", F.col("id").alias("rep"), F.coalesce("root", "id").alias("root"))
-    out = full.join(of_set, "fp", "left")
+    # Rows without words have no set to meet; copies of a set are joined by a join that Spark can split.
+    out = full.where("fp is not null").join(of_set, "fp", "left").select("id", "n", "root").unionByName(full.where("fp is null").select("id", "n", F.lit(None).cast("long").alias("root")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
