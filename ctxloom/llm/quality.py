@@ -218,7 +218,7 @@ def score(df: DataFrame, net: Network, *, text: str = "text", to: str = "score")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with score and predicted (1 if score >= threshold). Repeated rows are scored each; equal texts have equal scores; an empty table gives an empty result."""
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, rows: int = TRAIN_ROWS, to: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with score and predicted (1 if score >= threshold), under the names to and predicted, which replace columns of docs so named. Repeated rows are scored each; equal texts have equal scores; null and empty texts have that of no evidence; an empty table gives an empty result."""
     net = train(docs, labels, id_col=id_col, text=text, label=label, rows=rows)
-    return score(docs, net, text=text).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(docs, net, text=text, to=to).withColumn(predicted, (F.col(to) >= threshold).cast("int"))
