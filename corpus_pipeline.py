@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.llm import bpe, mixing, near_dup, quality, secrets
-from ctxloom.llm.common import fresh_path, table
+from ctxloom.llm.common import fresh_path, own_name, remove_path, table
 from ctxloom.llm.queries import vocabulary
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier rejects. Texts without a character are judged like others."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    """Drop documents that the quality classifier rejects. Null and empty texts are judged like others, repeated rows alike; columns stay as they are, whatever their names."""
+    score, good = own_name(docs, "score"), own_name(docs, "good")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), to=score, predicted=good).where(F.col(good) == 1).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +28,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of a secret becomes a mask; n_chars follows the text. No document goes."""
-    clean = secrets.redact(secrets.scan(docs, to="found_spans"), spans="found_spans")
+    """Every span of a secret becomes a mask; n_chars follows the text. No document goes; null and empty texts have no secrets."""
+    spans = own_name(docs, "spans")
+    clean = secrets.redact(secrets.scan(docs, to=spans), spans=spans)
     if "n_chars" in docs.columns:
-        changed = F.size("found_spans") > 0
+        changed = F.size(spans) > 0
         clean = clean.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; copies are rows."""
+    """Each document as often as the mix of sources takes it; copies are rows. Null sources are one source; texts without words cost nothing."""
     return mixing.sample(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document; null and empty texts have none, and copies have theirs each."""
     return bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary()).select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -53,14 +55,18 @@ STAGES = [
     ("BPE encoding and decoding", tokenize),
 ]
 
-#: A trained classifier and a tokenizer have no SQL. tests/llm holds the operators against plain versions; the stages' own steps and run() have no test yet.
+#: A trained classifier and a tokenizer have no SQL. tests/llm/test_llm_queries.py holds each stage, on what the one before kept, and run() against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written and read again; a stage's table goes when the next one is written. Without documents the result is empty."""
+    docs, done = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            remove_path(spark, done)
+        done = path
     return docs
