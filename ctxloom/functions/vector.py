@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -117,6 +118,24 @@ def pair_similarity(a: Column, b: Column) -> Column:
 Embedder = Callable[[list[str]], list]
 
 
+def patient(embedder: Embedder, tries: int = 2, wait_s: float = 0.5) -> Embedder:
+    """An embedder that tries a batch again after a pause that doubles, and then its texts one by one; a text that fails alone has no vector."""
+
+    def attempt(batch: list[str]) -> list | None:
+        for n in range(tries):
+            try:
+                return list(embedder(batch))
+            except Exception:  # whatever a plugged-in model raises
+                time.sleep(wait_s * 2**n)
+        return None
+
+    def run(batch: list[str]) -> list:
+        found = attempt(batch)
+        return found if found is not None else [v[0] if (v := attempt([t])) else None for t in batch]
+
+    return run
+
+
 def embed_missing(texts: DataFrame, cache: DataFrame, embedder: Embedder, *, text: str = "text", least: int = 10, batch: int = 32) -> DataFrame:
     """content_hash and embedding of the different texts of at least `least` characters that the cache (content_hash) lacks, in batches of `batch`."""
     new = texts.where(F.length(text) >= least).select(F.sha2(text, 256).alias("content_hash"), F.substring(text, 1, TEXT_CAP).alias("text")).dropDuplicates(["content_hash"])
@@ -126,6 +145,6 @@ def embed_missing(texts: DataFrame, cache: DataFrame, embedder: Embedder, *, tex
         for pdf in parts:
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
-                yield pd.DataFrame({"content_hash": part["content_hash"], "embedding": [np.asarray(v, np.float32) for v in embedder(part["text"].tolist())]})
+                yield pd.DataFrame({"content_hash": part["content_hash"], "embedding": [None if v is None else np.asarray(v, np.float32) for v in embedder(part["text"].tolist())]})
 
     return new.mapInPandas(run, "content_hash string, embedding array<float>")

@@ -23,13 +23,41 @@ def batches(messages: DataFrame, *, size: int = 5) -> DataFrame:
     return rows.groupBy("conv_id", "batch").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
-def prompt_texts(messages: DataFrame, *, last: int = 8, cap: int = 500) -> DataFrame:
-    """conv_id, prompt: the extractable ones of the last `last` messages, in order, numbered and cut."""
+def is_tool_message(role: Column, content: Column) -> Column:
+    """Whether a message is a tool's, a system's, or holds a call or a result; no message counts as one."""
+    blocks = F.exists(content, lambda b: b["type"].isin("tool_use", "tool_result"))
+    return F.coalesce(role.isin("tool", "system"), F.lit(False)) | (role.isNull() & content.isNull()) | F.coalesce(blocks, F.lit(False))
+
+
+def prompt_texts(messages: DataFrame, *, last: int = 8, cap: int = 500, between: str = "\n", mark: str = "") -> DataFrame:
+    """conv_id, prompt: the extractable ones of the last `last` messages, in order, numbered and cut, with a mark where they are."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     rows = messages.withColumn("r", place).where(F.col("r") <= last).where(extractable(F.col("role"), F.col("text")))
     got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"), F.max(F.col("role") == "user").alias("u")).where("u")
-    line = lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.upper(x["role"]), F.lit(": "), F.substring(x["text"], 1, cap))
-    return got.select("conv_id", F.array_join(F.transform("m", line), "\n").alias("prompt"))
+    text = lambda x: F.concat(F.substring(x["text"], 1, cap), F.when(F.length(x["text"]) > cap, mark).otherwise(""))
+    line = lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.upper(x["role"]), F.lit(": "), text(x))
+    return got.select("conv_id", F.array_join(F.transform("m", line), between).alias("prompt"))
+
+
+def fact_prompts(messages: DataFrame, *, last: int = 8) -> DataFrame:
+    """conv_id, prompt: what asks a model for the lasting facts of a conversation, messages cut at 500 characters."""
+    p = prompt_texts(messages, last=last, cap=500, between="\n\n", mark="...")
+    return p.withColumn("prompt", F.concat(F.lit("Which lasting facts does this conversation give?\n\n"), F.col("prompt"), F.lit("\n\nAnswer with a JSON array of facts, or [].")))
+
+
+def memory_prompts(messages: DataFrame, *, last: int = 8, projects: list[str] = (), stack: str | None = None) -> DataFrame:
+    """conv_id, prompt: what asks for facts and a summary, messages cut at 1000 characters, with what is known of the user's work."""
+    known = (f"\nProjects: {', '.join(projects)}." if projects else "") + (f" Tools: {stack}." if stack else "")
+    p = prompt_texts(messages, last=last, cap=1000, between="\n\n", mark="...")
+    return p.withColumn("prompt", F.concat(F.lit("What of this conversation is worth remembering?\n\n"), F.col("prompt"), F.lit("\n" + known + '\n\nAnswer with JSON: "facts", an array, and "summary", an object or null.')))
+
+
+def conflict_prompt(old_value: Column, old_confidence: Column, value: Column, category: Column, confidence: Column, context: Column) -> Column:
+    """What asks whether a new fact contradicts an old one, and what then holds."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    old = F.concat(F.lit("Old fact: "), old_value, F.lit("\nConfidence: "), known(old_confidence))
+    new = F.concat(F.lit("\n\nNew fact: "), value, F.lit("\nConfidence: "), known(confidence), F.lit("\nSaid: "), known(context))
+    return F.concat(F.lit("Category: "), category, F.lit("\n"), old, new, F.lit("\n\nDo they contradict? Answer with JSON: conflicts, reason, resolution."))
 
 
 def _contradicts(threshold: float) -> Column:

@@ -77,6 +77,11 @@ def touches(results: DataFrame, as_of: datetime) -> DataFrame:
     return results.select(F.col("id").alias("fact_id"), F.lit("retrieved").alias("interaction_type"), F.lit(as_of).alias("ts"))
 
 
+def append_interactions(rows: DataFrame, path: str) -> None:
+    """Add rows (fact_id, interaction_type, ts) to the audit log, one folder a day, so that a purge by age drops folders."""
+    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def fold_touches(facts: DataFrame, touched: DataFrame) -> DataFrame:
     last = touched.groupBy(F.col("fact_id").alias("id")).agg(F.max("ts").alias("__t"))
     return facts.join(last, "id", "left").withColumn("last_accessed_at", F.greatest("last_accessed_at", F.coalesce("__t", "last_accessed_at"))).drop("__t").select(*facts.columns)

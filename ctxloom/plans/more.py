@@ -326,6 +326,37 @@ def tool_results_both_forms(spark, sf_dir):
     return messages.tool_results(rows, keys=["conv_id", "turn"], call_id="call")
 
 
+# ---- prompts
+
+
+def _prompt_sql(cap: int, before: str, after: str) -> str:
+    return f"""WITH l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8), e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM l WHERE role IN ('user', 'assistant') AND length(trim(text)) >= 10)
+SELECT conv_id, '{before}' || {NL} || {NL} || string_agg('[' || i || '] ' || upper(role) || ': ' || substr(text, 1, {cap}) || CASE WHEN length(text) > {cap} THEN '...' ELSE '' END, {NL} || {NL} ORDER BY turn) || {after} AS prompt FROM e GROUP BY conv_id HAVING bool_or(role = 'user')"""
+
+
+@query(_prompt_sql(500, "Which lasting facts does this conversation give?", f"{NL} || {NL} || 'Answer with a JSON array of facts, or [].'"))
+def prompts_for_facts(spark, sf_dir):
+    return extract.fact_prompts(table(spark, sf_dir, "conversations"))
+
+
+@query(_prompt_sql(1000, "What of this conversation is worth remembering?", f"""{NL} || {NL} || 'Projects: a, b. Tools: spark.' || {NL} || {NL} || 'Answer with JSON: "facts", an array, and "summary", an object or null.'"""))
+def prompts_for_memory(spark, sf_dir):
+    return extract.memory_prompts(table(spark, sf_dir, "conversations"), projects=["a", "b"], stack="spark")
+
+
+@query(f"""SELECT event_id, 'Category: ' || event_type || {NL} || 'Old fact: ' || event_type || {NL} || 'Confidence: ' || CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE '0.5' END || {NL} || {NL} || 'New fact: ' || props || {NL} || 'Confidence: 0.75' || {NL} || 'Said: user ' || user_id || {NL} || {NL} || 'Do they contradict? Answer with JSON: conflicts, reason, resolution.' AS prompt FROM events""")
+def prompts_for_conflicts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    said = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    p = extract.conflict_prompt(F.col("event_type"), F.when(F.col("event_id") % 3 != 0, F.lit(0.5)), F.col("props"), F.col("event_type"), F.lit(0.75), said)
+    return e.select("event_id", p.alias("prompt"))
+
+
+@query("SELECT conv_id, turn, role = 'system' OR use OR res AS is_tool FROM (SELECT *, coalesce(lag(use) OVER (PARTITION BY conv_id ORDER BY turn), false) AS res FROM (SELECT *, role = 'assistant' AND turn % 4 = 1 AS use FROM conversations))")
+def tool_messages(spark, sf_dir):
+    return _with_tools(spark, sf_dir).select("conv_id", "turn", extract.is_tool_message(F.col("role"), F.col("content")).alias("is_tool"))
+
+
 # ---- memory
 
 _RULES = ("keep_latest", "keep_highest_confidence", "merge", "ask_user")

@@ -105,6 +105,28 @@ def test_history_is_transformed_once(spark):
     assert {r.turn: r.content for r in twice.collect()} == {t: r.content for t, r in got.items()}
 
 
+def test_patient_embedder():
+    calls = []
+
+    def model(batch):
+        calls.append(len(batch))
+        if len(batch) > 1 or batch[0] == "bad":
+            raise RuntimeError("no")
+        return [[1.0]]
+
+    assert vector.patient(model, tries=2, wait_s=0)(["a", "bad", "c"]) == [[1.0], None, [1.0]]
+    assert calls == [3, 3, 1, 1, 1, 1]
+
+
+def test_interactions_are_appended(spark, tmp_path):
+    from datetime import datetime
+
+    rows = memory.touches(spark.createDataFrame([(1,), (2,)], "id long"), datetime(2024, 2, 1))
+    path = str(tmp_path / "log")
+    memory.append_interactions(rows, path), memory.append_interactions(rows, path)
+    assert spark.read.parquet(path).groupBy("fact_id").count().collect().__len__() == 2 and spark.read.parquet(path).count() == 4
+
+
 def test_small_things(spark):
     assert spark.range(1).select(render.tool_error(F.lit("no"), F.lit("try")), render.grouped(F.lit(1234567))).first()[:] == ("❌ no\n💡 try", "1,234,567")
     assert spark.range(1).select(vector.pair_similarity(F.lit("same words here"), F.lit("same words here"))).first()[0] == pytest.approx(1)
