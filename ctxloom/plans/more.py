@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.config import Config
-from ctxloom.functions import previews, render, text, vector
+from ctxloom.functions import extraction, previews, render, text, vector
 from ctxloom.operators import extraction as extract
 from ctxloom.operators import flow, lexical, memory, messages, results, select, threads
 from ctxloom.sources import tables
@@ -552,3 +552,117 @@ def posting_lookup(spark, sf_dir):
     """Postings of three terms."""
     index = lexical.inverted_index(table(spark, sf_dir, "documents"), id_col="doc_id", text="text")
     return index.where(F.col("term").isin("error", "license", "token")).select("term", "doc_id", "tf")
+
+
+# ---- answers and blocks made from every row
+
+
+def _answer_rows(spark, sf_dir) -> DataFrame:
+    """For every message an answer of a model in one of five forms: an object, in a fence, a bare array, broken off after a fact, broken off within one."""
+    c = table(spark, sf_dir, "conversations")
+    fact = F.concat(F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", " "), F.lit(" "), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    kind = F.when(F.col("role") == "user", "preference").when(F.col("role") == "assistant", "Tools").otherwise("odd")
+    sure = F.when(F.col("turn") % 2 == 0, F.lit("0.25")).otherwise(F.lit("7"))
+    one = F.concat(F.lit('{"fact":"'), fact, F.lit('","category":"'), kind, F.lit('","confidence":'), sure)
+    whole = F.concat(one, F.lit(',"source_context":"said"}'))
+    summary = F.concat(F.lit('{"topic":"'), kind, F.lit('","content":"'), fact, F.lit('","entities":["e"],"projects":"p"}'))
+    both = F.concat(F.lit('{"facts":['), whole, F.lit('],"summary":'), summary, F.lit("}"))
+    form = F.col("turn") % 5
+    answer = F.when(form == 0, both).when(form == 1, F.concat(F.lit("```json\n"), both, F.lit("\n```"))).when(form == 2, F.concat(F.lit("Here: ["), whole, F.lit("]"))).when(form == 3, F.concat(F.lit('{"facts":['), whole, F.lit(',{"fact":"cut o'))).otherwise(F.concat(F.lit('{"facts":['), one, F.lit(',"source_con')))
+    return c.select("conv_id", "turn", answer.alias("answer"))
+
+
+_ANSWER = "regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', ' ', 'g') || ' ' || conv_id || '-' || turn"
+
+
+@query(f"""SELECT conv_id, turn, {_ANSWER} AS fact, CASE role WHEN 'user' THEN 'preference' WHEN 'assistant' THEN 'system' ELSE 'project' END AS category, CASE WHEN turn % 2 = 0 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS confidence, CASE WHEN turn % 5 = 4 THEN 'Extracted from conversation' ELSE 'said' END AS source_context FROM conversations""")
+def answers_to_facts(spark, sf_dir):
+    p = _answer_rows(spark, sf_dir).select("conv_id", "turn", extraction.parse(F.col("answer")).alias("p"))
+    return p.select("conv_id", "turn", F.inline(extraction.valid_facts(F.col("p")["facts"])))
+
+
+@query(f"""SELECT conv_id, turn, CASE role WHEN 'user' THEN 'preference' WHEN 'assistant' THEN 'Tools' ELSE 'odd' END AS topic, {_ANSWER} AS content, 'e' AS entities, 'p' AS projects FROM conversations WHERE turn % 5 < 2""")
+def answers_to_summaries(spark, sf_dir):
+    p = _answer_rows(spark, sf_dir).select("conv_id", "turn", extraction.valid_summary(extraction.parse(F.col("answer"))["summary"]).alias("s")).where("s is not null")
+    return p.select("conv_id", "turn", "s.topic", "s.content", F.array_join("s.entities", ",").alias("entities"), F.array_join("s.projects", ",").alias("projects"))
+
+
+@query("""SELECT event_id, event_id % 4 < 3 AS readable, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS conflicts, CASE event_id % 4 WHEN 0 THEN 'merge' END AS resolution FROM events""")
+def answers_to_conflicts(spark, sf_dir):
+    answers = ['{"conflicts":true,"reason":"r","resolution":"merge"}', '```json\n{"conflicts":false}\n```', '{"conflicts":true,"reason":"r"}', '{"conflicts":true,"reason":"r","resolution":"guess"}']
+    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, answers)), (F.col("event_id") % 4 + 1).cast("int")).alias("a"))
+    p = e.select("event_id", extraction.parse_conflict(F.col("a")).alias("p"))
+    return p.select("event_id", F.col("p").isNotNull().alias("readable"), F.col("p.conflicts").alias("conflicts"), F.col("p.resolution").alias("resolution"))
+
+
+def _odd_blocks(spark, sf_dir) -> DataFrame:
+    """Messages of two blocks, a text and by turn another text, a call, a call with a bad id, a result without content, a result."""
+    c = table(spark, sf_dir, "conversations")
+    at = F.concat(F.lit("c-"), F.col("turn").cast("string"))
+    form = F.col("turn") % 5
+    other = F.when(form == 0, _block(type=F.lit("text"), text=F.lit("more"))).when(form == 1, _block(type=F.lit("tool_use"), id=at, name=F.lit("exec"))).when(form == 2, _block(type=F.lit("tool_use"), id=F.lit("bad id"), name=F.lit("exec"))).when(form == 3, _block(type=F.lit("tool_result"), tool_use_id=at)).otherwise(_block(type=F.lit("tool_result"), tool_use_id=at, content=F.col("text")))
+    return c.select("conv_id", "turn", "role", F.array(_block(type=F.lit("text"), text=F.col("text")), other).alias("content"))
+
+
+@query("""SELECT conv_id, turn, turn % 5 NOT IN (2, 3) AS valid, CASE WHEN turn % 5 IN (2, 3) THEN 1 ELSE 2 END::BIGINT AS kept, turn % 5 <> 0 AS has_tools, CASE WHEN turn % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS spoken,
+text || CASE turn % 5 WHEN 0 THEN chr(10) || 'more' WHEN 3 THEN chr(10) || '[Tool result: ...]' WHEN 4 THEN chr(10) || '[Tool result: ' || substr(text, 1, 500) || '...]' ELSE '' END AS shown FROM conversations WHERE coalesce(text, '') <> ''""")
+def message_checks(spark, sf_dir):
+    """What validation, stripping and texts make of every message."""
+    m = _odd_blocks(spark, sf_dir).where("coalesce(content[0].text, '') <> ''")
+    kept = messages.sanitise(m).select("conv_id", "turn", F.size("content").cast("long").alias("kept"))
+    spoken = messages.strip_tools(m).select("conv_id", "turn", F.size("content").cast("long").alias("spoken"))
+    rows = m.select("conv_id", "turn", messages.valid_message(F.col("role"), F.col("content")).alias("valid"), messages.has_tool_calls(F.col("content")).alias("has_tools"), messages.message_text(F.col("content")).alias("shown"))
+    return rows.join(kept, ["conv_id", "turn"]).join(spoken, ["conv_id", "turn"])
+
+
+@query("SELECT 0::BIGINT AS tool_use_missing_name, count(*) FILTER (turn % 5 = 2) AS tool_use_invalid_id, 0::BIGINT AS tool_result_invalid_id, count(*) FILTER (turn % 5 = 3) AS tool_result_missing_content, count(*) FILTER (turn % 5 IN (2, 3)) AS total FROM conversations")
+def invalid_block_totals(spark, sf_dir):
+    return messages.invalid_blocks(_odd_blocks(spark, sf_dir))
+
+
+@query("SELECT type, count(*) AS n FROM (SELECT 'text' AS type FROM conversations UNION ALL SELECT CASE WHEN turn % 5 = 0 THEN 'text' WHEN turn % 5 < 3 THEN 'tool_use' ELSE 'tool_result' END FROM conversations) GROUP BY type")
+def block_type_totals(spark, sf_dir):
+    return messages.block_types(_odd_blocks(spark, sf_dir))
+
+
+def _scoped_facts(spark, sf_dir) -> DataFrame:
+    """A fact for every event: scope, agent, session and key follow from its id."""
+    e = table(spark, sf_dir, "events")
+    s = lambda p, n: F.concat(F.lit(p), (F.col("event_id") % n).cast("string"))
+    scope = F.element_at(F.array(F.lit("user"), F.lit("agent"), F.lit("session")), (F.col("event_id") % 3 + 1).cast("int"))
+    key = F.when(F.col("event_id") % 7 == 1, "").when(F.col("event_id") % 7 > 1, s("k", 11))
+    ts = F.col("ts").cast("timestamp")
+    return e.select(F.col("event_id").alias("id"), "user_id", scope.alias("scope"), s("a", 2).alias("agent_id"), s("s", 4).alias("session_id"), key.alias("key"), F.col("event_type").alias("category"), F.col("props").alias("value"), F.sha2("props", 256).alias("content_hash"), ts.alias("created_at"), ts.alias("updated_at"))
+
+
+_SCOPED = "(SELECT event_id AS id, user_id, ['user', 'agent', 'session'][event_id % 3 + 1] AS scope, 'a' || (event_id % 2) AS agent_id, 's' || (event_id % 4) AS session_id, CASE WHEN event_id % 7 = 1 THEN '' WHEN event_id % 7 > 1 THEN 'k' || (event_id % 11) END AS key, event_type AS category, props AS value, ts FROM events)"
+
+
+@query(f"""WITH f AS (SELECT *, coalesce(nullif('k' || key, 'k'), '#' || id) AS k FROM {_SCOPED})
+SELECT user_id, scope, min(id) AS id, arg_max(value, (ts, id)) AS value, min(ts) AS created_at, max(ts) AS updated_at FROM f GROUP BY user_id, scope, k""")
+def facts_by_key(spark, sf_dir):
+    """The newest values of each key, under its first id."""
+    return memory.upsert_facts(_scoped_facts(spark, sf_dir)).select("user_id", "scope", "id", "value", "created_at", "updated_at")
+
+
+@query(f"SELECT id FROM {_SCOPED} WHERE scope IN ('user', 'session') AND (scope = 'user' OR agent_id = 'a1') AND (scope <> 'session' OR session_id = 's1') AND category IN ('click', 'view')")
+def facts_visible(spark, sf_dir):
+    seen = memory.visible(scopes=["user", "session"], agent_id="a1", session_id="s1", categories=["click", "view"])
+    return _scoped_facts(spark, sf_dir).where(seen).select("id")
+
+
+@query(f"""WITH c AS (SELECT user_id, id, CASE WHEN id % 5 = 0 THEN 'new ' || id END AS v, CASE WHEN id % 10 < 2 THEN 'moved' END AS g FROM {_SCOPED} WHERE id % 5 < 2)
+SELECT id, coalesce(v, value) AS value, coalesce(g, category) AS category, sha256(coalesce(v, value)) AS content_hash FROM {_SCOPED} LEFT JOIN c USING (user_id, id) WHERE id % 9 <> 0""")
+def facts_changed(spark, sf_dir):
+    """Updates of values and categories, of which the newest count, and deletions."""
+    f = _scoped_facts(spark, sf_dir)
+    value, moved = F.when(F.col("id") % 5 == 0, F.concat(F.lit("new "), F.col("id").cast("string"))), F.when(F.col("id") % 10 < 2, F.lit("moved"))
+    some = f.where("id % 5 < 2")
+    first = some.select("user_id", "id", F.lit("old").alias("value"), F.lit("old").alias("category"), F.timestamp_add("DAY", F.lit(1), F.col("updated_at")).alias("ts")).where("id % 10 = 0")
+    changes = first.unionByName(some.select("user_id", "id", value.alias("value"), moved.alias("category"), F.timestamp_add("DAY", F.lit(2), F.col("updated_at")).alias("ts")))
+    return memory.delete_facts(memory.update_facts(f, changes), f.where("id % 9 = 0")).select("id", "value", "category", "content_hash")
+
+
+@query(f"SELECT id FROM {_SCOPED} WHERE NOT (scope = 'session' AND session_id = 's2')")
+def facts_after_session(spark, sf_dir):
+    return memory.clean_session(_scoped_facts(spark, sf_dir), "s2").select("id")
