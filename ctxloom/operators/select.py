@@ -24,7 +24,8 @@ def score(messages: DataFrame, prompt: str | None = None, *, recent: int = 3) ->
     """messages with score (six places) and keep: system and recent messages get 1, texts under ten characters 0, the rest the cosine to the query's vector."""
     queries = query_texts(messages, prompt, recent=recent).select("conv_id", hash_embedding(F.col("query_text")).alias("qv"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    rows = messages.withColumn("v", hash_embedding(F.col("text"))).join(queries, "conv_id", "left").withColumn("r", place)
+    # Messages' vectors are made after the one shuffle by conversation, queries' vectors before it: one a conversation.
+    rows = messages.withColumn("r", place).join(queries, "conv_id", "left").withColumn("v", hash_embedding(F.col("text")))
     keep = F.when(is_system(F.col("role")), "system").when(F.col("r") <= recent, "recent")
     empty = F.length(F.coalesce("text", F.lit(""))) < 10
     value = F.when(keep.isNotNull(), 1.0).when(empty, 0.0).otherwise(cosine(F.col("v"), F.col("qv")))

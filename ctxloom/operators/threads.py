@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxloom.functions.vector import cosine, hash_embedding
+from ctxloom.functions.vector import cosine, hash_vector
 
 SIMILARITY, GAP = 0.7, 5
 
@@ -76,12 +76,12 @@ def fold(texts: list[str | None], vectors: list[np.ndarray], similarity: float =
 
 
 def detect(messages: DataFrame, *, similarity: float = SIMILARITY, gap: int = GAP) -> DataFrame:
-    """conv_id, turn, thread_id (null: none), topic. The topic depends on all messages before, so a conversation is folded as a group."""
-    rows = messages.select("conv_id", "turn", "text", hash_embedding(F.col("text")).alias("v"))
+    """conv_id, turn, thread_id (null: none), topic. The topic depends on all messages before, so a conversation is folded as a group; its vectors are made there, and texts alone are shuffled."""
+    rows = messages.select("conv_id", "turn", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn", kind="stable")
-        found = fold(pdf["text"].tolist(), [np.asarray(v) for v in pdf["v"]], similarity, gap)
+        found = fold(pdf["text"].tolist(), [hash_vector(t) for t in pdf["text"]], similarity, gap)
         return pd.DataFrame({"conv_id": pdf["conv_id"].to_numpy(), "turn": pdf["turn"].to_numpy(), "thread_id": pd.array([t for t, _ in found], "Int64"), "topic": [v for _, v in found]})
 
     return rows.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, thread_id long, topic array<double>")
