@@ -12,8 +12,9 @@ contains. If no window agrees, the window is the whole node. Shorter texts are
 one leaf. In leaves and windows no token of a vocabulary with word ends crosses
 white space, so their pieces between it are encoded once each and remembered.
 
-Memory is bounded by a batch of rows and one text; rows are independent, so a
-lost executor costs its tasks only, and nothing is shuffled.
+Memory is bounded by OUT_BYTES of texts or one longer text, and by CACHE
+pieces, about 150 MB a worker; rows are independent, so a lost executor costs
+its tasks only, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ LONG, LEAF = 2048, 2048
 #: Characters on each side of a join in its first window.
 WINDOW = 24
 #: Pieces of leaves, white space aside, whose ids a worker remembers.
-CACHE = 800_000
+CACHE = 300_000
 #: Bytes of texts that are encoded at once, and turned into one batch of results.
-OUT_BYTES = 4_000_000
+OUT_BYTES = 1_000_000
 #: Lower-case Latin letters, of which NFC and lower case change none, and a mark.
 _WORD = re.compile("([a-zß-öø-ÿ]+)([!-/:-@\\[-`{-~]?)")
 
