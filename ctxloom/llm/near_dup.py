@@ -12,8 +12,8 @@ Steps, each a table in the shared folder where it is read more than once:
    smallest member only: a star. Candidate pairs grow with the rows, not
    with the square of a bucket. Links are confirmed on whole sets.
 4. A star can miss a link between two members that don't link with its
-   centre. Buckets whose members still lie in several components are gone
-   through again: members are compared across components by signature, in
+   centre. Buckets whose other members still lie in several components (so of
+   three members at least) are gone through again: members are compared across components by signature, in
    blocks, and only pairs whose estimate is within reach of the threshold go
    on to be confirmed. No bucket is capped.
 5. Components by alternating large-star and small-star rounds.
@@ -321,8 +321,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     links = confirmed(star, "links")
     remove(star)
     found = components(links)
-    # What the stars have left open: buckets with members in several components.
-    open_rows = crowded.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    # What the stars have left open: buckets with members in several components, the centre aside, all of whose pairs are decided.
+    open_rows = crowded.where("id <> b").select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     unsolved = open_rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = materialise(open_rows.join(unsolved, "key"), "open")
