@@ -4,12 +4,13 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from ctxloom.functions import vector
 from ctxloom.operators import lexical
-from ctxloom.plans import queries
+from ctxloom.plans import more, queries  # noqa: F401  (more registers its queries beside the others)
 
 
 def words(text):
@@ -100,3 +101,17 @@ def test_every_document_is_indexed(spark, tmp_path):
     assert len(index) == len(want) and {(r.doc_id, r.term, r.tf, r.length) for r in index} == want
     tf = queries.QUERIES["term_freq"](spark, str(tmp_path)).collect()
     assert len(tf) == len(want) and {(r.doc_id, r.term, r.tf) for r in tf} == {x[:3] for x in want}
+
+
+def test_letters_beyond_ascii_bound_acronyms(spark, tmp_path):
+    """As in SQL: only ASCII word characters go on with a word."""
+    asked = {1: "düSSü der ERRü xAPIx", 2: "üEABü und ü404ü", 3: "éAPIé", 4: "SS_ abSS SSa 12345 éXMLa"}
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    for name in ("keyword_extract", "fts_query_builder", "needs_fts"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    keywords = {r.id: r.keywords for r in queries.QUERIES["keyword_extract"](spark, str(tmp_path)).collect()}
+    assert keywords["b1"].startswith("SS|ERR|")
