@@ -81,7 +81,8 @@ def bounded_chunks(df: DataFrame, *, keys: list[str], text: str = "text", size:
 def save_with_chunks(new: DataFrame, *, text: str = "text", order: str = "id", size: int = 2000, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
     """The stored results, one for each different text, and their chunks: chunk_id (of result and place, so that a second run gives it again), result_id, chunk_idx, offsets, chunk_text, token_count, embedding."""
     results = save(new, text=text, order=order)
-    one = new.select(result_id(F.col(text)).alias("result_id"), F.col(text).alias("full_result")).dropDuplicates(["result_id"])
+    # A result's id is 32 bits of its hash, which different texts come to share; the whole hash tells them apart.
+    one = new.select(result_id(F.col(text)).alias("result_id"), F.sha2(text, 256).alias("__h"), F.col(text).alias("full_result")).dropDuplicates(["__h"]).drop("__h")
     cut = bounded_chunks(one, keys=["result_id"], text="full_result", size=size, overlap=overlap)
     chunk_id = F.concat(F.lit("ch_"), F.substring(F.sha2(F.concat_ws(":", "result_id", F.col("chunk_idx").cast("string")), 256), 1, 12))
     return results, cut.withColumn("chunk_id", chunk_id).withColumn("token_count", estimate_tokens(F.col("chunk_text"))).withColumn("embedding", hash_embedding(F.col("chunk_text")))

@@ -115,3 +115,15 @@ def test_letters_beyond_ascii_bound_acronyms(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(want)
     keywords = {r.id: r.keywords for r in queries.QUERIES["keyword_extract"](spark, str(tmp_path)).collect()}
     assert keywords["b1"].startswith("SS|ERR|")
+
+
+def test_results_that_share_an_id_are_both_cut(spark, tmp_path):
+    """The hashes of two of these texts begin with the same 32 bits."""
+    texts = {1: "text 859", 2: "text 4460", 3: "text 859", 4: "", 5: None, 6: "other. " * 400}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["saved_chunks"](spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL['saved_chunks']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(want) == len({r[-1] for r in want}) > len({r[:2] for r in want})
