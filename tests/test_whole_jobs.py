@@ -7,9 +7,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ctxloom.functions import vector
-from ctxloom.operators import lexical
+from ctxloom.operators import lexical, select
 from ctxloom.plans import more, queries  # noqa: F401  (more registers its queries beside the others)
 
 
@@ -127,3 +128,17 @@ def test_results_that_share_an_id_are_both_cut(spark, tmp_path):
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL['saved_chunks']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert len(want) == len({r[-1] for r in want}) > len({r[:2] for r in want})
+
+
+def test_pairs_of_texts_never_become_vectors_in_the_plan(spark):
+    """No column of a selection or of pairs holds a vector, and values are those of the vectors."""
+    texts = ["alpha beta gamma", "beta beta delta epsilon", "", None, "a b c", "the " * 900 + "tail", "Größe für alle", "alpha beta gamma"]
+    d = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    pairs = d.select("i", "j", vector.pair_similarity(F.col("a"), F.col("b")).alias("s"))
+    rows = spark.createDataFrame([(i % 3, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    for df in (pairs, select.score(rows, recent=1)):
+        assert "zip_with" not in df._jdf.queryExecution().optimizedPlan().toString()
+    v = [vector.hash_vector(t) for t in texts]
+    assert all(r.s == pytest.approx(float(v[r.i] @ v[r.j]), abs=1e-12) for r in pairs.collect())
+    made = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", vector.hash_embedding(F.col("t")).alias("v")).collect()
+    assert all(np.array_equal(r.v, v[r.i]) for r in made)
