@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ctxloom.config import Config
 from ctxloom.functions.extraction import parse, valid_facts, valid_summary
 from ctxloom.functions.text import dynamic_k, tokens
-from ctxloom.functions.vector import cosine, hash_embedding
+from ctxloom.functions.vector import hash_embedding, pair_similarity
 
 from . import extraction, fusion, memory, messages
 from .lexical import B, K1, idf
@@ -61,7 +61,7 @@ def select_messages(rows: DataFrame, config: Config = Config(), prompt: str | No
     asked = users.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("u"))
     queries = asked.select("conv_id", F.array_join(F.concat("u", F.array(F.lit(prompt))) if prompt else F.col("u"), "\n\n").alias("query_text"))
 
-    scored = items.join(queries.select("conv_id", "query_text", hash_embedding(F.col("query_text")).alias("qv")), "conv_id", "left").withColumn("cos", cosine(hash_embedding(F.col("text")), F.col("qv")))
+    scored = items.join(queries, "conv_id", "left").withColumn("cos", pair_similarity(F.col("text"), F.col("query_text")))
     if config.hybrid:
         scored = scored.join(conversation_bm25(items, queries), ["conv_id", "group_id"], "left")
         value = config.bm25_weight * F.coalesce("bm25", F.lit(0.0)) + config.cosine_weight * F.col("cos")
