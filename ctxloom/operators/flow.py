@@ -124,9 +124,9 @@ def flush(batch: DataFrame, stored: DataFrame, extractor: Extractor, config: Con
     """
     facts, summaries = extract(batch, extractor, config)
     identity = F.xxhash64("user_id", "value")
-    new = facts.withColumn("embedding", hash_embedding(F.col("value")).cast("array<float>")).withColumn("id", identity)
+    new = facts.withColumn("id", identity)
     once = F.row_number().over(Window.partitionBy("user_id", "id").orderBy(F.desc("confidence"), "conv_id", "place"))
-    new = new.withColumn("__r", once).where("__r = 1").drop("__r")
+    new = new.withColumn("__r", once).where("__r = 1").drop("__r").withColumn("embedding", hash_embedding(F.col("value")).cast("array<float>"))
     acts = extraction.resolve(new, stored, strategy=config.conflict_strategy, threshold=config.conflict_similarity).select("user_id", "id", "old_id", "action", F.col("value").alias("new_value"), F.col("confidence").alias("new_confidence"))
     rows = new.join(acts, ["user_id", "id"])
     outcome = F.when(F.col("action") == "update", "updated").when(F.col("action") == "keep", "kept").when(F.col("action") == "defer", "deferred").when(F.col("confidence") < config.min_confidence, "skipped").otherwise("stored")

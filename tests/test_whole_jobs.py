@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxloom.functions import vector
-from ctxloom.operators import lexical, select
+from ctxloom.operators import extraction, lexical, select
 from ctxloom.plans import more, queries  # noqa: F401  (more registers its queries beside the others)
 
 
@@ -142,3 +142,33 @@ def test_pairs_of_texts_never_become_vectors_in_the_plan(spark):
     assert all(r.s == pytest.approx(float(v[r.i] @ v[r.j]), abs=1e-12) for r in pairs.collect())
     made = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", vector.hash_embedding(F.col("t")).alias("v")).collect()
     assert all(np.array_equal(r.v, v[r.i]) for r in made)
+
+
+def test_conflicts_are_the_first_of_all_pairs(spark, monkeypatch):
+    """Against a plain version: texts within one another, empty and null ones, vectors of some, in several blocks; and no join of all pairs."""
+    monkeypatch.setattr(extraction, "BLOCK", 7, raising=False)
+    rng = np.random.default_rng(5)
+    base = "the Quick brown fox jumps over a lazy dog"
+    cut = lambda: None if rng.random() < 0.05 else base[(i := int(rng.integers(0, 38))) : i + int(rng.choice([0, 1, 2, 3, 4, 7, 8, 9, 20]))]
+    kinds = [None, [0.0, 0.0], [1.0, 0.0], [0.8, 0.6], [0.0, 1.0], [1.0, None], [1.0]]
+    fact = lambda i: (f"u{rng.integers(2)}", i, "ab"[rng.integers(2)], cut(), 0.5, kinds[rng.integers(0, 2 if i % 2 else 7)])
+    new, old = [fact(i) for i in range(120)], [fact(1000 + i) for i in range(120)]
+    schema = "user_id string, id long, category string, value string, confidence double, embedding array<float>"
+
+    def cosine(a, b):
+        if len(a) != len(b) or None in a or None in b:
+            return 0.0
+        norm = math.hypot(*a) * math.hypot(*b)
+        return float(np.dot(a, b)) / norm if norm else 0.0
+
+    def conflict(n, o):
+        if n[5] is not None and o[5] is not None:
+            return cosine(n[5], o[5]) >= 0.75
+        a, b = n[3], o[3]
+        return a is not None and b is not None and (a.lower() in b.lower() or b.lower() in a.lower())
+
+    want = {(n[0], n[1]): min(found) for n in new if (found := [(o[1], o[3]) for o in old if o[0] == n[0] and o[2] == n[2] and conflict(n, o)])}
+    n, o = spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)
+    got = extraction.conflicts(n, o, threshold=0.75)
+    assert {(r.user_id, r.id): (r.old_id, r.old_value) for r in got.collect()} == want and 20 < len(want) < 120
+    assert "Contains" not in got._jdf.queryExecution().optimizedPlan().toString()
