@@ -172,3 +172,24 @@ def test_conflicts_are_the_first_of_all_pairs(spark, monkeypatch):
     got = extraction.conflicts(n, o, threshold=0.75)
     assert {(r.user_id, r.id): (r.old_id, r.old_value) for r in got.collect()} == want and 20 < len(want) < 120
     assert "Contains" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_pairs_are_small(spark, monkeypatch):
+    """Where every pair is returned, no task holds more than a small block of them at a time."""
+    seen = spark.sparkContext.accumulator(0)
+    whole = vector._compare
+
+    def watched(k, places):
+        run = whole(k, places)
+
+        def one(rows, queries):
+            if rows.num_rows * queries.num_rows > 200_000:
+                seen.add(1)
+            return run(rows, queries)
+
+        return one
+
+    monkeypatch.setattr(vector, "_compare", watched)
+    rows = spark.range(4000).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    queries_ = rows.where("id % 16 = 0").withColumnRenamed("id", "query_id")
+    assert vector.compare(rows, queries_).count() == 4000 * 250 and seen.value == 0
